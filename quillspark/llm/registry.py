@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate
+from quillspark.llm import decontaminate, mixing, quality, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": decontaminate.op2}
+    return {
+        "op2_decontaminate": decontaminate.op2,
+        "op3_entropy_mix": mixing.op3,
+        "op4_token_counts": tokencount.op4,
+        "op7_toxicity": toxicity.op7,
+        "op8_quality_rules": quality.op8,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
