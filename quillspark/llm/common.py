@@ -32,7 +32,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df into the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.parquet(path)
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, mixing, quality, tokencount, toxicity
+from quillspark.llm import brown, decontaminate, mixing, quality, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_brown_lm": brown.op1,
         "op2_decontaminate": decontaminate.op2,
         "op3_entropy_mix": mixing.op3,
         "op4_token_counts": tokencount.op4,
