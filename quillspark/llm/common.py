@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zlib
@@ -87,3 +88,9 @@ def slices(arrays: list[pa.Array], sizes: list[int], limit: int = CHUNK_BYTES) -
 def column_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a text column, as an aggregate."""
     return df.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0))).first()[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished phases: Spark drops them once the driver's handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

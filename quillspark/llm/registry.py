@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import brown, decontaminate, mixing, orderminhash, quality, tokencount, toxicity
+from quillspark.llm import brown, decontaminate, mixing, orderminhash, quality, suffixdedup, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": tokencount.op4,
         "op7_toxicity": toxicity.op7,
         "op8_quality_rules": quality.op8,
+        "op9_suffix_dedup": suffixdedup.op9,
         "op10_order_minhash": orderminhash.op10,
     }
 
