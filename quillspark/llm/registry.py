@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import brown, decontaminate, mixing, orderminhash, quality, sanitize, suffixdedup, tokencount, toxicity
+from quillspark.llm import brown, decontaminate, langid, mixing, orderminhash, quality, sanitize, suffixdedup, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": decontaminate.op2,
         "op3_entropy_mix": mixing.op3,
         "op4_token_counts": tokencount.op4,
+        "op5_language_id": langid.op5,
         "op6_sanitize": sanitize.op6,
         "op7_toxicity": toxicity.op7,
         "op8_quality_rules": quality.op8,
