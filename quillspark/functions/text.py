@@ -31,7 +31,7 @@ NO_NAMES = frozenset(
     "new says say said live update updates breaking exclusive analysis opinion explainer watch video".split()
 )
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-WHITE = r"[\s   -     　﻿\x0B]"
+WHITE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 def _each(function, kind):  # noqa: ANN001, ANN202
@@ -211,7 +211,7 @@ def search_query(raw: Column) -> Column:
     return F.when(F.char_length(query).between(1, 200), query)
 
 
-_WRONG = re.compile("[Â-ô][\u0080-¿]")
+_WRONG = re.compile("[\u00c2-\u00f4][\u0080-\u00bf]")
 
 
 def decoded_title(raw: str) -> str:
@@ -224,7 +224,7 @@ def decoded_title(raw: str) -> str:
             text = text.encode("latin-1").decode("utf-8")
         except UnicodeError:
             pass
-    return re.sub("[​-‍⁠﻿]", "", text).strip()
+    return re.sub("[\u200b-\u200d\u2060\ufeff]", "", text).strip()
 
 
 def decode_title(raw: Column) -> Column:
