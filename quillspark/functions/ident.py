@@ -32,7 +32,7 @@ def claim_revision_id(claim: Column, revision: Column) -> Column:
 
 def content_hash(rows: Column) -> Column:
     """A hash of an array of structs that does not depend on its order."""
-    return sha(F.array_join(F.array_sort(F.transform(rows, F.to_json)), "\n"))
+    return sha(F.array_join(F.array_sort(F.transform(rows, lambda r: F.to_json(r))), "\n"))
 
 
 def seeded_rank(seed: str, key: Column) -> Column:

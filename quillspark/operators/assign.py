@@ -46,10 +46,14 @@ def decide(candidates: DataFrame, centroid: float = CENTROID, representative: fl
     return joined.select("article", F.when(reason == "assigned", F.col("story")).alias("story"), reason.alias("reason"))
 
 
-def hard_negatives(items: DataFrame, n: int = 30, least: float = 0.0) -> DataFrame:
-    """a, b, similarity: the n nearest pairs of one topic from different groups, from items(item, topic, grp, vector)."""
+def hard_negatives(items: DataFrame, n: int = 30, least: float = 0.0, stated: Column | None = None) -> DataFrame:
+    """a, b, similarity: the n nearest pairs of one topic from different groups, from items(item, topic, grp, vector).
+
+    stated: a condition on a.* that names the items asked about; without it every item is, which is for small sets.
+    """
     a, b = items.alias("a"), items.alias("b")
     pairs = a.join(b, (F.col("a.topic") == F.col("b.topic")) & (F.col("a.item") < F.col("b.item")) & (F.col("a.grp") != F.col("b.grp")))
+    pairs = pairs.where(stated) if stated is not None else pairs
     scored = pairs.select(F.col("a.item").alias("a"), F.col("b.item").alias("b"), F.round(cosine(F.col("a.vector"), F.col("b.vector")), 6).alias("similarity"))
     return scored.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "a", "b").limit(n)
 

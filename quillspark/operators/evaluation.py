@@ -127,4 +127,4 @@ def flips(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
 def majority(points: DataFrame, group: str, value: str, order: str) -> DataFrame:
     """group, value: the most frequent value, the earliest in ties."""
     counts = points.groupBy(group, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    return counts.groupBy(group).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias(value))
+    return counts.groupBy(group).agg(F.min_by(value, F.struct(-F.col("n"), F.col("first"), F.col(value))).alias(value))

@@ -68,23 +68,22 @@ def gate_two(labels: DataFrame) -> DataFrame:
     )
 
 
-def sides(pairs: DataFrame) -> DataFrame:
+def sides(pairs: DataFrame, most: int = 64) -> DataFrame:
     """claim_id, quote, side: quotes that an incompatible pair sets apart, and what agrees with them.
 
-    pairs: claim_id, a, b, label. Seeds take a side by order; agreement spreads it, one recursive query for all claims.
+    pairs: claim_id, a, b, label. The lesser quote of an incompatible pair is on side 0 with all that agreement reaches from it; the others are on side 1.
+    Reached quotes spread by joins until nothing is new; a claim's quotes are few, so rounds are few.
     """
-    spark = pairs.sparkSession
-    pairs.createOrReplaceTempView("_pairs")
-    return spark.sql(
-        """
-        with recursive reach(claim_id, quote, side, depth) as (
-          select claim_id, least(a, b), 0, 0 from _pairs where label = 'incompatible'
-          union all
-          select r.claim_id, case when p.a = r.quote then p.b else p.a end, r.side, r.depth + 1
-          from reach r join _pairs p on p.claim_id = r.claim_id and p.label = 'agree' and (p.a = r.quote or p.b = r.quote)
-          where r.depth < 12)
-        select distinct claim_id, quote, side from reach
-        union
-        select distinct p.claim_id, greatest(p.a, p.b), 1 from _pairs p where p.label = 'incompatible'
-        """
-    )
+    seeds = pairs.where("label = 'incompatible'").select("claim_id", F.least("a", "b").alias("quote")).distinct()
+    agree = pairs.where("label = 'agree'").select("claim_id", "a", "b")
+    edges = agree.unionByName(agree.select("claim_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    reached, n = seeds.checkpoint(), -1
+    for _ in range(most):
+        found = reached.count()
+        if found == n:
+            break
+        n = found
+        more = edges.join(reached.withColumnRenamed("quote", "a"), ["claim_id", "a"]).select("claim_id", F.col("b").alias("quote"))
+        reached = reached.unionByName(more).distinct().checkpoint()
+    other = pairs.where("label = 'incompatible'").select("claim_id", F.greatest("a", "b").alias("quote")).distinct().join(reached, ["claim_id", "quote"], "left_anti")
+    return reached.withColumn("side", F.lit(0)).unionByName(other.withColumn("side", F.lit(1)))
