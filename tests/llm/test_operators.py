@@ -1,0 +1,303 @@
+"""Operators against brute force, and their edge cases."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from quillspark.llm import brown, decontaminate, langid, mixing, orderminhash, quality, sanitize, suffixdedup, tokencount, toxicity
+from llm_rows import documents, prose
+
+
+def dump(path, **tables):
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def sf(spark, sample, tmp_path_factory):
+    bench = [(1, " ".join(sample[4][1].split()[5:30])), (2, None), (3, ""), (10, "word"), (11, "never seen words at all")]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(14)] + [(999, 1, 1), (3, 1, None)]
+    pages = [(1, "http://a.example.fr/x", "<html lang='fr'><body>le la les des une est dans pour</body>"), (2, None, None), (3, "bad", ""), (3, "bad", "")]
+    return dump(
+        tmp_path_factory.mktemp("sf"),
+        documents=documents(spark, sample),
+        benchmark=spark.createDataFrame(bench, "item_id long, text string"),
+        labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+        pages=spark.createDataFrame(pages, "page_id long, url string, html string"),
+    )
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    return dump(
+        tmp_path_factory.mktemp("empty"),
+        documents=documents(spark, []),
+        benchmark=spark.createDataFrame([], "item_id long, text string"),
+        labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"),
+        pages=spark.createDataFrame([], "page_id long, url string, html string"),
+    )
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+OPERATORS = [brown.op1, decontaminate.op2, mixing.op3, tokencount.op4, langid.op5, sanitize.op6, toxicity.op7, quality.op8, suffixdedup.op9, orderminhash.op10]
+
+
+@pytest.mark.parametrize("op", OPERATORS, ids=lambda f: f.__name__)
+def test_empty_tables_give_empty_results(spark, empty, op):
+    assert op(spark, empty).count() == 0
+
+
+def test_brown_base_and_gain(spark, sf, sample):
+    texts = [(i, (t or "").encode().lower().split() + [b""]) for i, t, *_ in sample]
+    train = Counter(w for i, ws in texts if zlib.crc32(str("" if i is None else i).encode()) % 10 for w in ws)
+    n, v = sum(train.values()), len(train)
+    expected = sorted((str(i), len(ws), sum(train[w] > 0 for w in ws), n, round(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for i, ws in texts)
+    got = brown.op1(spark, sf).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == expected
+    assert all(r.score < 0 for r in got)
+
+
+def test_brown_moves_raise_the_likelihood():
+    r = np.random.default_rng(0)
+    pairs = r.integers(0, 9, (6, 6)).astype(float)
+    of = np.array([0, 1, 2, 0, 1, 2])
+    table = np.zeros((3, 3))
+    np.add.at(table, (of[:, None], of[None, :]), pairs)
+    import pyarrow as pa
+
+    item = 3
+    d = {"item": [], "of": [], "side": [], "c": [], "n": [], "same": []}
+    for side, counts in ((0, pairs[:, item]), (1, pairs[item])):
+        for c in range(3):
+            for k, v in zip("item of side c n same".split(), (item, of[item], side, c, counts[of == c].sum(), pairs[item, item]), strict=True):
+                d[k].append(v)
+    found = brown._moves(table)(None, pa.table(d)).to_pylist()[0]
+    gains = []
+    for to in range(3):
+        other = of.copy()
+        other[item] = to
+        t = np.zeros((3, 3))
+        np.add.at(t, (other[:, None], other[None, :]), pairs)
+        gains.append(brown.likelihood(t) - brown.likelihood(table))
+    assert found["c"] == int(np.argmax(gains)) and abs(found["gain"] - max(gains)) < 1e-6
+
+
+def test_decontaminate_matches_brute_force(spark, sf, sample):
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    expected = sorted(decontaminate.brute_force([(i, t) for i, t, *_ in sample], bench), key=repr)
+    assert rows(decontaminate.op2(spark, sf)) == expected
+    docs, b = documents(spark, sample), spark.read.parquet(f"{sf}/benchmark.parquet")
+    sliced = decontaminate.window_hits(docs, b, slice_bytes=60).select("doc_id", "hits.n_hit")
+    assert rows(sliced) == sorted(((e[0], e[2]) for e in expected), key=repr)
+
+
+def test_decontaminate_cuts_spans(spark):
+    docs = spark.createDataFrame([(1, "Alpha, beta gamma delta!"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
+    hits = decontaminate.window_hits(docs, bench)
+    assert rows(hits.select("doc_id", decontaminate.cut_spans("text", "hits"))) == [(1, "Alpha,  delta!"), (2, None)]
+
+
+def test_mixing_targets_and_copies(spark, sf, sample):
+    sizes = Counter()
+    for _, t, _, s in sample:
+        sizes[s] += len((t or "").encode().split())
+    targets = mixing.exact_targets(dict(sizes))
+    got = mixing.op3(spark, sf).collect()
+    assert len(got) == len(sample) and abs(sum(targets.values()) - sum(sizes.values())) < 1e-6
+    taken, most = Counter(), Counter()
+    for r in got:
+        near = min(targets, key=lambda s: abs(targets[s] - r.target) + abs(sizes[s] - r.source_size))
+        assert r.source_size == sizes[near] and abs(r.target - targets[near]) < 1e-6
+        assert 0 <= r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[near] += r.taken
+        most[near] = max(most[near], r.size)
+    assert all(abs(taken[s] - targets[s]) <= most[s] for s in sizes)
+    assert rows(mixing.op3(spark, sf)) == sorted((tuple(r) for r in got), key=repr)
+
+
+def test_token_counts_match_greedy_pieces(spark, sf, sample):
+    initial, continuation = map(set, tokencount.read_pieces())
+    auto = tokencount.Automaton.build(sorted(initial), sorted(continuation))
+    words = {w for _, t, *_ in sample if t for w in t.split()} | {"unbelievable", "x" * 40, "été", "日本語", "a.b,c"}
+    assert [auto.length(w) for w in sorted(words)] == [tokencount.brute_length(w, initial, continuation) for w in sorted(words)]
+    small = tokencount.Automaton.build(["a", "abcd", "ab"], ["b", "c", "bc", "cde"])
+    for w in ("abcde", "abc", "abbc", "acde", "abcdx", "b", ""):
+        assert small.length(w) == tokencount.brute_length(w, {"a", "abcd", "ab"}, {"b", "c", "bc", "cde"}), w
+    got = {r.doc_id: r for r in tokencount.op4(spark, sf).collect() if r.doc_id is not None}
+    assert got[15].n_words == got[15].n_tokens == 0
+
+
+def test_language_id(spark, sf):
+    got = {r.page_id: r for r in langid.op5(spark, sf).collect()}
+    assert len(got) == 3 and got[1].declared == "fr" and got[1].host == "a.example.fr" and got[2].lang in ("en", "fr")
+
+
+def test_language_id_beats_wrong_declaration(spark):
+    fr, en = "le la les des une est dans pour avec sur", "the of and to in is that with for on"
+    docs = spark.createDataFrame([(i, (fr if i % 2 else en) * 5, "fr" if i % 2 else "en") for i in range(40)], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.example.com/", f'<html lang="{"en" if i < 3 else "fr" if i % 2 else "en"}"><p>{(fr if i % 2 else en) * 4}</p>') for i in range(60)], "page_id long, url string, html string")
+    assert all(r.lang == ("fr" if r.page_id % 2 else "en") for r in langid.identify(pages, docs).collect())
+
+
+PII = [
+    (1, "mail a.b+c@x-y.co.uk, a@b.c_d@e.f or 1.2.3.4 and 1.2.3.999 1.2.3.4.5.6.7.8"),
+    (2, "4111 1111 1111 1111 é +1 (555) 010-9999 4111111111111112 ++12 3 4 x +49 30 1234567-"),
+    (3, None), (4, ""), (5, "no data"), (1, "mail a.b+c@x-y.co.uk, a@b.c_d@e.f or 1.2.3.4 and 1.2.3.999 1.2.3.4.5.6.7.8"), (None, "x@y.z"),
+    (6, "@" * 50 + "a" * 30_000 + "@" + "1 " * 3000 + "a@b" + ".c" * 9000), (7, " ".join(f"10.0.{i % 256}.{i % 200} é" for i in range(700))),
+]
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (c > "4") for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    digits = lambda h: re.sub("[^0-9]", "", h)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda h: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda h: all(int(x) <= 255 for x in h.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda h: 13 <= len(digits(h)) <= 19 and luhn(digits(h))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda h: 9 <= len(digits(h)) <= 15),
+    ]
+    return [[f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, text) if ok(m.group())] for k, p, ok in kinds]
+
+
+def test_base_spans_match_python(spark, tmp_path):
+    at = dump(tmp_path, documents=spark.createDataFrame(PII, "doc_id long, text string"))
+    expected = []
+    for i, t in PII:
+        if t and len(t) > 20_000:  # the plain pattern is quadratic in such a run: it has no address but the last
+            found = [[f"email:{t.index('a@b')}:{len(t)}"], [], [], []]
+        else:
+            found = base_spans(t or "")
+        flat = ",".join(x for k in found for x in k)
+        expected.append((i, *map(len, found), hashlib.sha256(flat.encode()).hexdigest(), flat))
+    assert rows(sanitize.op6(spark, str(at))) == sorted(expected, key=repr)
+
+
+def test_disclosing_terms(spark):
+    texts = [(i, f"contact zorblax at zed@corp.example about item{i} the usual things") for i in range(6)] + [(10 + i, f"the usual things about item{i} and nothing else") for i in range(60)]
+    found = sanitize.spans_of(spark.createDataFrame(texts, "doc_id long, text string"))
+    r = {x.doc_id: x for x in found.collect()}
+    assert {m.hit for m in r[0].terms} == {"contact", "zorblax"} and not r[12].terms
+    clean = found.where("doc_id = 0").select(sanitize.sanitized(found.text, found.base, found.terms)).first()[0]
+    assert clean == "  at [email] about item0 the usual things"
+
+
+def test_toxicity_learns_and_locates(spark):
+    r = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(60)]
+    rows_, labels = [], []
+    for i in range(400):
+        s = [" ".join(r.choice(words, 6)) for _ in range(6)]
+        bad = i % 4 == 0
+        if bad:
+            s[3] += " vileterm"
+        rows_.append((i, ". ".join(s) + "."))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame([*rows_, (900, None), (901, "")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scored = {x.doc_id: x.t for x in docs.select("doc_id", toxicity.toxicity(spark, model, "text").alias("t")).collect()}
+    assert all((scored[i].score >= 0.5) == (i % 4 == 0) for i in range(400))
+    assert all(scored[i].worst == 3 for i in range(0, 400, 4)) and 0 <= scored[900].score == scored[901].score < 0.5
+
+
+def test_quality_statistics(spark, sf, sample):
+    def measure(t):
+        raw = (t or "").encode()
+        words = raw.split()
+        grams = Counter(zip(words, words[1:], words[2:]))
+        inside = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+        seen, dup = set(), 0
+        for line in (t or "").split("\n"):
+            if line.encode().split():
+                dup += line in seen
+                seen.add(line)
+        return len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in t or ""), dup, len(inside)
+
+    got = quality.op8(spark, sf).collect()
+    expected = sorted((str(i), *measure(t)) for i, t, *_ in sample)
+    assert sorted((str(r.doc_id), *r[1:6]) for r in got) == expected
+    assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept) for r in got)
+
+
+def test_quality_rejects_outliers(spark):
+    docs = [(i, prose(i, 150), "en", "s") for i in range(300)] + [(1000 + i, " | ".join(prose(i, 150).split()), "en", "s") for i in range(5)]
+    got = {r.doc_id: r.kept for r in quality.judged(documents(spark, docs)).collect()}
+    assert not any(got[1000 + i] for i in range(5)) and sum(got[i] for i in range(300)) >= 298
+
+
+def test_suffix_dedup_matches_brute_force(spark, sf, sample):
+    count = Counter((t or "").encode()[i : i + 200] for _, t, *_ in sample for i in range(len((t or "").encode()) - 199))
+    expected = []
+    for i, t, *_ in sample:
+        raw = (t or "").encode()
+        hit = np.zeros(len(raw) + 1, int)
+        for k in range(len(raw) - 199):
+            if count[raw[k : k + 200]] > 1:
+                hit[k : k + 200] = 1
+        kept = bytes(c for c, h in zip(raw, hit) if not h)
+        expected.append((i, len(raw), int(hit.sum()), int((np.diff(hit, prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    assert rows(suffixdedup.op9(spark, sf)) == sorted(expected, key=repr)
+
+
+def test_suffix_dedup_on_edited_copies(spark, tmp_path):
+    text = prose(5, 300)
+    docs = [(i, text[: 40 * i] + "#" * (i % 3) + text[40 * i + 1 :]) for i in range(1, 30)] + [(100, "ab" * 400), (101, "ba" * 130)]
+    at = dump(tmp_path, documents=documents(spark, [(i, t, "en", "s") for i, t in docs]))
+    count = Counter(t.encode()[k : k + 200] for _, t in docs for k in range(len(t.encode()) - 199))
+    for r in suffixdedup.op9(spark, str(at)).collect():
+        raw = dict(docs)[r.doc_id].encode()
+        hit = np.zeros(len(raw), int)
+        for k in range(len(raw) - 199):
+            if count[raw[k : k + 200]] > 1:
+                hit[k : k + 200] = 1
+        assert r.n_removed == hit.sum(), r.doc_id
+
+
+def test_edit_distance_is_exact_within_the_band():
+    r = np.random.default_rng(2)
+
+    def full(a, b):
+        d = np.arange(len(b) + 1)
+        for i, x in enumerate(a, 1):
+            e = d.copy()
+            e[0] = i
+            for j, y in enumerate(b, 1):
+                e[j] = min(d[j] + 1, e[j - 1] + 1, d[j - 1] + (x != y))
+            d = e
+        return d[-1]
+
+    for _ in range(300):
+        a, b = (r.integers(0, 4, r.integers(0, 14)) for _ in range(2))
+        want = full(a, b)
+        for most in (0, 2, 5, 20):
+            assert orderminhash.edits(a, b, most) == (want if want <= most else None)
+
+
+def test_near_duplicates(spark, sf, sample):
+    got = {r.doc_id: r.class_id for r in orderminhash.op10(spark, sf).where("doc_id is not null").collect()}
+    assert got[12] == got[13] == got[0] and got[14] == got[3] and got[15] == got[16] == got[17] == 15 and got[18] == 18
+    assert len({got[i] for i in range(12)}) == 12
+
+
+def test_near_duplicate_group_with_many_edits(spark):
+    base = prose(3, 200).split()
+    docs = []
+    for i in range(60):
+        w = list(base)
+        w[(7 * i) % 200] = f"edit{i}"
+        docs.append((i, " ".join(w), "en", "s"))
+    docs += [(100 + i, prose(50 + i, 200, 4000), "en", "s") for i in range(30)]
+    got = {r.doc_id: r for r in orderminhash.near_duplicates(documents(spark, docs)).collect()}
+    assert {got[i].class_id for i in range(60)} == {0} and all(got[100 + i].class_size == 1 for i in range(30))
