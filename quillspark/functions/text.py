@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from difflib import SequenceMatcher
@@ -211,20 +212,19 @@ def search_query(raw: Column) -> Column:
     return F.when(F.char_length(query).between(1, 200), query)
 
 
-_WRONG = re.compile("[\u00c2-\u00f4][\u0080-\u00bf]")
+_WRONG = re.compile("[\u00c2-\u00f4][\u0080-\u00bf]+")
+
+
+def _repaired(m: re.Match) -> str:
+    try:
+        return m.group().encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return m.group()
 
 
 def decoded_title(raw: str) -> str:
     """Entities decoded, UTF-8 that was read as Latin-1 repaired, zero-width characters out."""
-    import html
-
-    text = html.unescape(raw)
-    if _WRONG.search(text):
-        try:
-            text = text.encode("latin-1").decode("utf-8")
-        except UnicodeError:
-            pass
-    return re.sub("[\u200b-\u200d\u2060\ufeff]", "", text).strip()
+    return re.sub("[\u200b-\u200d\u2060\ufeff]", "", _WRONG.sub(_repaired, html.unescape(raw))).strip()
 
 
 def decode_title(raw: Column) -> Column:
