@@ -37,7 +37,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data generalised to its kind and disclosing terms removed."""
-    found = sanitize.spans_of(docs.where("text is not null")).where(F.size(F.concat("base", "terms")) > 0)
+    found = sanitize.spans_of(docs).where(F.size(F.concat("base", "terms")) > 0)
     changed = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), sanitize.sanitized(F.col("text"), F.col("base"), F.col("terms")).alias("_new")).dropDuplicates(["_id", "_row"])
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("doc_id", "text") == F.col("_row"))
     joined = docs.join(changed, same, "left").withColumn("text", F.coalesce("_new", "text"))

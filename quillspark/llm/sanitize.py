@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import materialize
+
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the contract, written so that each character is tried once: quantifiers keep what they
 #: took, and a match starts where a run starts or where the last match ended.
@@ -36,6 +38,8 @@ PATTERNS = {
 SIGNS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"[\p{L}\p{N}]+"
 LEAKAGE, SUPPORT, LEAST_TERM = 0.9, 4, 3
+#: Buckets of terms whose documents are counted.
+BUCKETS = 1 << 18
 #: Matches per block when their offsets are summed up.
 BLOCK = 256
 SPAN = "struct<kind:string,start:int,end:int>"
@@ -117,16 +121,21 @@ def _terms(text: Column) -> Column:
 
 
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(row, terms): the terms of each text that give away an entity of its own. found: row, text, base of the texts with entities."""
+    """(row, terms): the terms of each text that give away an entity of its own. found: row, text, base of the texts with entities.
+
+    df(t) is counted over all texts, but only for terms in one of the buckets that a pair with support falls in: at most BUCKETS
+    rows, so that table may be broadcast whatever the corpus. The join on the term itself follows.
+    """
     entity = F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["hit"])))))
     with_entity = found.dropDuplicates(["row"]).select("row", "text", entity.alias("e"))
     often = with_entity.groupBy("e").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= SUPPORT)
-    pairs = with_entity.join(often, "e").select("row", "e", "df_e", F.explode(_terms(F.col("text"))).alias("t"))
-    counted = pairs.groupBy("e", "t", "df_e").agg(F.count("*").alias("df_et")).where(F.col("df_et") >= SUPPORT)
-    candidates = counted.select("t").distinct()
-    df = texts.select(F.explode(_terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("df_t"))
+    pairs = materialize(with_entity.join(often, "e").select("row", "e", "df_e", F.explode(_terms(F.col("text"))).alias("t")), "pii-pairs")
+    counted = materialize(pairs.groupBy("e", "t", "df_e").agg(F.count("*").alias("df_et")).where(F.col("df_et") >= SUPPORT), "pii-counted")
+    bucket = F.pmod(F.xxhash64("t"), F.lit(BUCKETS))
+    wanted = F.broadcast(counted.select(bucket.alias("b")).distinct())
+    df = texts.select(F.explode(_terms(F.col("text"))).alias("t")).withColumn("b", bucket).join(wanted, "b", "left_semi").groupBy("t").agg(F.count("*").alias("df_t"))
     total = texts.agg(F.count("*").cast("double").alias("D"))
-    judged = counted.join(df.join(candidates, "t", "left_semi"), "t").crossJoin(F.broadcast(total))  # one row
+    judged = counted.join(df, "t").crossJoin(F.broadcast(total))  # one row
     information = F.log(F.col("D") / F.col("df_e"))
     mutual = F.log(F.col("D") * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
     telling = judged.where((information > 0) & (mutual >= LEAKAGE * information)).select("e", "t")
@@ -134,19 +143,20 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row, text, base and terms: arrays of struct<kind,start,end,hit>, one row per row of docs."""
+    """doc_id, row, base and terms: arrays of struct<kind,start,end,hit>, one row per row of docs; text only where base has spans."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
-    found = rows.where(F.size("base") > 0)
+    spans = rows.withColumn("base", base_spans(F.col("text")))
+    spans = materialize(spans.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii-spans")
+    found = spans.where(F.size("base") > 0)
     telling = disclosing(found, rows.select("text")).withColumnRenamed("row", "r")
     # only texts with entities can have terms: the others pass by the join
     marked = found.join(telling, F.col("r") == F.col("row"), "left")
     word = F.concat(F.lit(r"(?iU)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     inside = lambda m: F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-    spans = F.transform(F.filter(_matches(F.col("text"), word), lambda m: ~inside(m)), lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit")))
+    hits = F.transform(F.filter(_matches(F.col("text"), word), lambda m: ~inside(m)), lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit")))
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,hit:string>>)")
-    marked = marked.select("doc_id", "row", "text", "base", F.when(F.size("terms") > 0, spans).otherwise(none).alias("terms"))
-    return marked.unionByName(rows.where(F.size("base") == 0).select("doc_id", "row", "text", "base", none.alias("terms")))
+    marked = marked.select("doc_id", "row", "text", "base", F.when(F.size("terms") > 0, hits).otherwise(none).alias("terms"))
+    return marked.unionByName(spans.where(F.size("base") == 0).select("doc_id", "row", "text", "base", none.alias("terms")))
 
 
 def sanitized(text: Column, base: Column, terms: Column, term_with: str = "") -> Column:
