@@ -282,7 +282,10 @@ def test_edit_distance_is_exact_within_the_band():
         a, b = (r.integers(0, 4, r.integers(0, 14)) for _ in range(2))
         want = full(a, b)
         for most in (0, 2, 5, 20):
-            assert orderminhash.edits(a, b, most) == (want if want <= most else None)
+            expected = want if want <= most else None
+            assert orderminhash.edits(a, b, most) == expected
+            if abs(len(a) - len(b)) <= most:
+                assert orderminhash._in_table(a, b, most) == orderminhash._in_band(a, b, most) == expected
 
 
 def test_near_duplicates(spark, sf, sample):
