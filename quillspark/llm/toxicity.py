@@ -33,6 +33,8 @@ BITS = 20
 FEATURES = 1 << BITS
 BEGINNING = 4
 EPOCHS = 100
+#: Documents whose gradients are worked out at once: what bounds the driver's memory beside the sample itself.
+BATCH = 250
 #: Features of fewer sampled documents get no weight.
 LEAST_DOCS = 3
 RATE, DECAY, START = 0.5, 0.05, -5.0
@@ -96,6 +98,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return _train([(r.toxic, np.frombuffer(r.numbers, np.int32), np.frombuffer(r.ends, np.int32)) for r in got])
 
 
+def _packed(rows: list[tuple[int, np.ndarray, np.ndarray]], place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A batch of documents: labels, places of features, the sentence of each, first sentences of documents, document of each sentence."""
+    lengths = np.concatenate([np.diff(r[2], prepend=0) for r in rows])
+    columns = place[np.concatenate([r[1] for r in rows])]
+    sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    per_doc = np.array([len(r[2]) for r in rows])
+    first = np.concatenate(([0], np.cumsum(per_doc)[:-1]))
+    kept = columns >= 0
+    return np.array([r[0] for r in rows]), columns[kept], sentence[kept], first, np.repeat(np.arange(len(rows), dtype=np.int32), per_doc)
+
+
 def _train(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
     weights = np.zeros(FEATURES, np.float32)
     rows = [r for r in rows if len(r[2])]
@@ -103,30 +116,28 @@ def _train(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     if not rows or positive in (0, len(rows)):
         share = min(max(positive / max(len(rows), 1), 1e-6), 1 - 1e-6)
         return weights, float(np.log(share / (1 - share))) if rows else -14.0
-    documents = np.bincount(np.concatenate([np.unique(r[1]) for r in rows]), minlength=FEATURES)
+    documents = np.zeros(FEATURES, np.int32)
+    for _, numbers, _ in rows:
+        documents[np.unique(numbers)] += 1
     seen = np.flatnonzero(documents >= LEAST_DOCS)
-    place = np.full(FEATURES, len(seen))
+    place = np.full(FEATURES, -1, np.int32)
     place[seen] = np.arange(len(seen))
-    columns = place[np.concatenate([r[1] for r in rows])]
-    lengths = np.concatenate([np.diff(r[2], prepend=0) for r in rows])
-    sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    columns, sentence = (x[columns < len(seen)] for x in (columns, sentence))
-    per_doc = np.array([len(r[2]) for r in rows])
-    first = np.concatenate(([0], np.cumsum(per_doc)[:-1]))
-    doc = np.repeat(np.arange(len(rows)), per_doc)
-    y = np.array([r[0] for r in rows], float)
+    batches = [_packed(rows[i : i + BATCH], place) for i in range(0, len(rows), BATCH)]
     w, past, bias, bias_past = np.zeros(len(seen)), np.full(len(seen), 1e-8), START, 1e-8
+    scale = 100 / len(rows)
     for _ in range(EPOCHS):
-        z = np.clip(np.bincount(sentence, w[columns], len(lengths)) + bias, -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        none = np.add.reduceat(np.log1p(-p), first)
-        some = np.maximum(-np.expm1(none), 1e-12)
-        # d log P(label) / dz: for toxic ones p * (1 - P) / P, for others -p
-        pull = np.where(y == 1, np.exp(none) / some, -1.0)[doc] * p
-        grad = np.bincount(columns, pull[sentence], len(seen)) / len(rows) * 100 - DECAY
+        grad, g = np.full(len(seen), -DECAY), 0.0
+        for y, columns, sentence, first, doc in batches:
+            z = np.clip(np.bincount(sentence, w[columns], len(doc)) + bias, -30, 30)
+            p = 1 / (1 + np.exp(-z))
+            none = np.add.reduceat(np.log1p(-p), first)
+            some = np.maximum(-np.expm1(none), 1e-12)
+            # d log P(label) / dz: for toxic ones p * (1 - P) / P, for others -p
+            pull = np.where(y == 1, np.exp(none) / some, -1.0)[doc] * p * scale
+            grad += np.bincount(columns, pull[sentence], len(seen))
+            g += pull.sum()
         past += grad**2
         w = np.maximum(w + RATE * grad / np.sqrt(past), 0.0)
-        g = pull.sum() / len(rows) * 100
         bias_past += g * g
         bias += RATE * g / np.sqrt(bias_past)
     weights[seen] = w
