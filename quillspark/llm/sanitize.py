@@ -4,18 +4,20 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers, found fro
 regular expressions; what fails its kind's test is dropped without another try.
 
 Around them terms are judged by what they disclose, as information theory has it: a term t discloses
-an entity e if their pointwise mutual information, log(D * df(e, t) / (df(e) * df(t))), is at least
-LEAKAGE of e's own information, log(D / df(e)), where D is the number of documents and df counts documents
-with an occurrence, in the corpus. Pairs in fewer than SUPPORT documents are chance and disclose nothing. Disclosing terms
-are spans of the documents with their entity. ``sanitized`` removes the terms (or what a caller puts in place of a kind) and
+an entity e if their pointwise mutual information, log(p(e | t) / p(e)), is at least LEAKAGE of e's own information,
+-log p(e). df counts documents with an occurrence, D all of them; p(e) = df(e) / D, and p(e | t) is estimated
+with one more document that holds t and the entity as often as any: (df(e, t) + p(e)) / (df(t) + 1). So every entity is
+judged, and few documents weigh little. Disclosing terms are spans of every document that holds them, with the entity or
+without. ``sanitized`` removes the terms (or what a caller puts in place of a kind) and
 generalises base spans to the name of their kind.
 
 Offsets are in code points, ends exclusive. Spans of one kind don't overlap; a term inside a base span is not
 one of its own. A null text is empty and has no spans. Repeated rows of one id and text count once
 in the statistics. A null id is an id like others.
 
-Only documents with an entity are joined to the statistics; all others are read once for df(t), as a partial
-aggregate of their distinct terms.
+Entities in the same documents are judged as one. The estimate falls with df(t), so what fails with df(t) among the
+documents with entities can't tell anything; all documents are then read for the terms that are left, by a
+bitmap that is broadcast and then by an exact join.
 """
 
 from __future__ import annotations
@@ -37,12 +39,13 @@ PATTERNS = {
 #: What a text with a match of the kind contains.
 SIGNS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"[\p{L}\p{N}]+"
-LEAKAGE, SUPPORT, LEAST_TERM = 0.9, 4, 3
-#: Buckets of terms whose documents are counted.
-BUCKETS = 1 << 18
+LEAKAGE, LEAST_TERM = 0.9, 3
+#: Bits of a bitmap of hashes, 8 MB.
+BITS = 1 << 26
 #: Matches per block when their offsets are summed up.
 BLOCK = 256
 SPAN = "struct<kind:string,start:int,end:int>"
+HITS = "array<struct<kind:string,start:int,end:int,hit:string>>"
 
 
 def _matches(text: Column, pattern: Column) -> Column:
@@ -120,43 +123,58 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda t: F.char_length(t) >= LEAST_TERM)
 
 
-def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(row, terms): the terms of each text that give away an entity of its own. found: row, text, base of the texts with entities.
+def _sieve(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be in wanted: those that are, and few others. A bitmap of hashes is broadcast, of BITS at most."""
+    at = F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
+    bits = wanted.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    place = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, place % 8) == 1
+    return df.join(F.broadcast(bits), (F.bitmap_bucket_number(at) == F.col("_b")) & is_set, "left_semi")
 
-    df(t) is counted over all texts, but only for terms in one of the buckets that a pair with support falls in: at most BUCKETS
-    rows, so that table may be broadcast whatever the corpus. The join on the term itself follows.
-    """
-    entity = F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["hit"])))))
-    with_entity = found.dropDuplicates(["row"]).select("row", "text", entity.alias("e"))
-    often = with_entity.groupBy("e").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= SUPPORT)
-    pairs = materialize(with_entity.join(often, "e").select("row", "e", "df_e", F.explode(_terms(F.col("text"))).alias("t")), "pii-pairs")
-    counted = materialize(pairs.groupBy("e", "t", "df_e").agg(F.count("*").alias("df_et")).where(F.col("df_et") >= SUPPORT), "pii-counted")
-    bucket = F.pmod(F.xxhash64("t"), F.lit(BUCKETS))
-    wanted = F.broadcast(counted.select(bucket.alias("b")).distinct())
-    df = texts.select(F.explode(_terms(F.col("text"))).alias("t")).withColumn("b", bucket).join(wanted, "b", "left_semi").groupBy("t").agg(F.count("*").alias("df_t"))
-    total = texts.agg(F.count("*").cast("double").alias("D"))
-    judged = counted.join(df, "t").crossJoin(F.broadcast(total))  # one row
-    information = F.log(F.col("D") / F.col("df_e"))
-    mutual = F.log(F.col("D") * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
-    telling = judged.where((information > 0) & (mutual >= LEAKAGE * information)).select("e", "t")
-    return pairs.join(telling, ["e", "t"], "left_semi").groupBy("row").agg(F.array_sort(F.collect_set("t")).alias("terms"))
+
+def _telling(df_e: Column, df_et: Column, df_t: Column, total: Column) -> Column:
+    share = df_e / total
+    return (share < 1) & (F.log((df_et + share) / (df_t + 1) / share) >= -LEAKAGE * F.log(share))
+
+
+def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(row, terms): the terms of each text that give away an entity. found: row, text, base of the texts with entities; texts: row, text of all."""
+    found = found.dropDuplicates(["row"])
+    entities = found.select("row", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["hit"]))))).alias("e"))
+    # entities of the same documents have the same counts with every term
+    sets = entities.groupBy("e").agg(F.count("*").alias("df_e"), F.bit_xor(F.xxhash64("row")).alias("f"))
+    of_row = entities.join(sets, "e").groupBy("row").agg(F.collect_set(F.struct("f", "df_e")).alias("sets"))
+    terms = materialize(found.select("row", F.explode(_terms(F.col("text"))).alias("t")), "pii-terms")
+    counted = terms.join(of_row, "row").select("t", F.explode("sets").alias("s")).groupBy("t", "s.f", "s.df_e").agg(F.count("*").alias("df_et"))
+    total = F.broadcast(texts.agg(F.countDistinct("row").cast("double").alias("D")))  # one row
+    among = terms.groupBy("t").agg(F.count("*").alias("df_found"))
+    possible = counted.join(among, "t").crossJoin(total).where(_telling(F.col("df_e"), F.col("df_et"), F.col("df_found"), F.col("D")))
+    possible = materialize(possible.select("t", "df_e", "df_et", "D"), "pii-possible")
+    held = _sieve(texts.select("row", F.explode(_terms(F.col("text"))).alias("t")), "t", possible)
+    held = materialize(held.dropDuplicates(["row", "t"]), "pii-held")
+    judged = possible.join(held.groupBy("t").agg(F.count("*").alias("df_t")), "t")
+    telling = judged.where(_telling(F.col("df_e"), F.col("df_et"), F.col("df_t"), F.col("D"))).select("t").distinct()
+    return held.join(telling, "t", "left_semi").groupBy("row").agg(F.array_sort(F.collect_set("t")).alias("terms"))
 
 
 def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row, base and terms: arrays of struct<kind,start,end,hit>, one row per row of docs; text only where base has spans."""
+    """doc_id, row, base and terms: arrays of struct<kind,start,end,hit>, one row per row of docs; text only where there are spans."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = rows.withColumn("base", base_spans(F.col("text")))
     spans = materialize(spans.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii-spans")
-    found = spans.where(F.size("base") > 0)
-    telling = disclosing(found, rows.select("text")).withColumnRenamed("row", "r")
-    # only texts with entities can have terms: the others pass by the join
-    marked = found.join(telling, F.col("r") == F.col("row"), "left")
+    telling = materialize(disclosing(spans.where(F.size("base") > 0), rows.select("row", "text")), "pii-telling")
+    # texts without an entity are read again only where they have terms
+    bare = _sieve(spans.where(F.size("base") == 0).select("row"), "row", telling).join(telling.select("row"), "row", "left_semi").distinct()
+    again = _sieve(rows, "row", bare).join(bare, "row", "left_semi").withColumn("base", F.expr(f"cast(array() as {HITS})"))
+    marked = spans.where(F.size("base") > 0).unionByName(again).join(telling.withColumnRenamed("row", "r"), F.col("r") == F.col("row"), "left")
     word = F.concat(F.lit(r"(?iU)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     inside = lambda m: F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
     hits = F.transform(F.filter(_matches(F.col("text"), word), lambda m: ~inside(m)), lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit")))
-    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,hit:string>>)")
+    none = F.expr(f"cast(array() as {HITS})")
     marked = marked.select("doc_id", "row", "text", "base", F.when(F.size("terms") > 0, hits).otherwise(none).alias("terms"))
-    return marked.unionByName(spans.where(F.size("base") == 0).select("doc_id", "row", "text", "base", none.alias("terms")))
+    rest = spans.where(F.size("base") == 0).join(bare, "row", "left_anti")
+    return marked.unionByName(rest.select("doc_id", "row", "text", "base", none.alias("terms")))
 
 
 def sanitized(text: Column, base: Column, terms: Column, term_with: str = "") -> Column:

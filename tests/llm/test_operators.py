@@ -194,6 +194,20 @@ def test_disclosing_terms(spark):
     assert clean == "  at [email] about item0 the usual things"
 
 
+def test_terms_of_rare_entities_are_marked_in_every_document(spark):
+    texts = [(i, f"write to zorblax at zed@corp.example about item{i} now") for i in range(3)]
+    texts += [(3, "only zorblax himself knows this"), (4, "write about the usual things now"), *((10 + i, f"write about item{i} and the usual things now") for i in range(1200))]
+    # repeated rows weigh no more than one
+    df = spark.createDataFrame([*texts, *[texts[0]] * 5, *[texts[4]] * 5], "doc_id long, text string")
+    got = [(r.doc_id, tuple(m.hit for m in r.terms)) for r in sanitize.spans_of(df).where("doc_id < 5").collect()]
+    assert sorted(got) == sorted([(0, ("zorblax",))] * 6 + [(i, ("zorblax",)) for i in (1, 2, 3)] + [(4, ())] * 6)
+
+
+def test_given_tables_have_terms_beyond_the_base(spark):
+    got = sanitize.spans_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert len(got) == 1000 and any(r.terms for r in got) and all(m.hit == r.text[m.start : m.end] for r in got for m in r.terms)
+
+
 def test_toxicity_learns_and_locates(spark):
     r = np.random.default_rng(1)
     words = [f"w{i}" for i in range(60)]
