@@ -1,7 +1,8 @@
 """Token counts by a linear longest-match automaton.
 
 Greedy word pieces: a word is cut into its longest initial piece, then the longest continuation
-pieces; a word that cannot be cut is one unknown token. The automaton is a trie over initial pieces
+pieces. Where no initial piece fits, the mark of a word's start is a token of its own, if the vocabulary has it; a
+character without a piece counts by its UTF-8 bytes, if the vocabulary has byte pieces. A word that cannot be cut even so is one unknown token. The automaton is a trie over initial pieces
 and, below a second root, over continuation pieces. Each node has a failure link and the number of
 tokens popped on the way to it, so one pass over the characters gives the length and no piece is
 ever built or looked up again.
@@ -30,15 +31,23 @@ MEMO_WORDS = 200_000
 
 
 def read_pieces(path: str = VOCABULARY) -> tuple[list[str], list[str]]:
-    """Initial and continuation pieces of a sentence-piece model; control and byte pieces are left out."""
+    """Initial and continuation pieces of a sentence-piece model; control and byte pieces are left out. The bare mark is the initial piece ""."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    initial = [p[1:] for p in pieces if p.startswith(INITIAL) and len(p) > 1 and INITIAL not in p[1:]]
+    initial = [p[1:] for p in pieces if p.startswith(INITIAL) and INITIAL not in p[1:]]
     return initial, [p for p in pieces if INITIAL not in p]
 
 
+def has_bytes(path: str = VOCABULARY) -> bool:
+    """Whether the model has a piece for every byte."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    return sum(model.is_byte(i) for i in range(model.get_piece_size())) == 256
+
+
 @dataclass
 class Automaton:
     """Nodes 0 (word start) and 1 (after a piece); children by character, failure link, tokens popped."""
@@ -47,9 +56,10 @@ class Automaton:
     ends: list[bool]
     fail: list[int]
     popped: list[int]
+    by_bytes: bool = False
 
     @classmethod
-    def build(cls, initial: list[str], continuation: list[str]) -> Automaton:
+    def build(cls, initial: list[str], continuation: list[str], by_bytes: bool = False) -> Automaton:
         children: list[dict[str, int]] = [{}, {}]
         ends = [False, False]
         parent: list[tuple[int, str]] = [(-1, ""), (-1, "")]
@@ -64,7 +74,22 @@ class Automaton:
                         parent.append((at, ch))
                     at = children[at][ch]
                 ends[at] = True
+        tokens = [1] * len(children)
+        if by_bytes:
+            # a character that is no piece is one of as many tokens as it has bytes
+            for ch in {ch for _, ch in parent[2:]}:
+                if ch not in children[1]:
+                    children[1][ch] = len(children)
+                    children.append({})
+                    ends.append(False)
+                    parent.append((1, ch))
+                    tokens.append(1)
+                at = children[1][ch]
+                if not ends[at]:
+                    ends[at], tokens[at] = True, len(ch.encode())
         fail, popped = [-1] * len(children), [0] * len(children)
+        if ends[0]:
+            fail[0], popped[0] = 1, 1
         level = [0, 1]
         while level:
             following = []
@@ -72,7 +97,7 @@ class Automaton:
                 if node > 1:
                     up, ch = parent[node]
                     if ends[node]:
-                        fail[node], popped[node] = 1, 1
+                        fail[node], popped[node] = 1, tokens[node]
                     else:
                         # the longest piece on the way here is popped; its rest goes on from where that leads
                         link, n = fail[up], popped[up]
@@ -83,7 +108,7 @@ class Automaton:
                             fail[node], popped[node] = children[link][ch], n
                 following.extend(children[node].values())
             level = following
-        return cls(children, ends, fail, popped)
+        return cls(children, ends, fail, popped, by_bytes)
 
     def length(self, word: str) -> int:
         """The number of pieces of a word, or 0 if it cannot be cut."""
@@ -92,6 +117,9 @@ class Automaton:
         for ch in word:
             to = children[at].get(ch)
             while to is None:
+                if at == 1 and self.by_bytes:
+                    n, to = n + len(ch.encode()), 1
+                    break
                 n += popped[at]
                 at = fail[at]
                 if at < 0:
@@ -132,7 +160,7 @@ def _counter(shared):  # noqa: ANN001, ANN202
 
 def token_counts(spark: SparkSession, text: str | Column, vocabulary: str = VOCABULARY) -> Column:
     """A struct of n_words, n_tokens (unknown words are one token each) and n_unknown."""
-    shared = spark.sparkContext.broadcast(Automaton.build(*read_pieces(vocabulary)))
+    shared = spark.sparkContext.broadcast(Automaton.build(*read_pieces(vocabulary), has_bytes(vocabulary)))
     return _counter(shared)(text)
 
 
@@ -141,12 +169,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("n", token_counts(spark, "text")).select("doc_id", "n.n_words", "n.n_tokens", "n.n_unknown")
 
 
-def brute_length(word: str, initial: set[str], continuation: set[str]) -> int:
+def brute_length(word: str, initial: set[str], continuation: set[str], by_bytes: bool = False) -> int:
     """Greedy longest match by trying every end, for tests."""
     at = n = 0
     while at < len(word):
-        pieces = initial if at == 0 else continuation
-        end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
+        pieces, least = (continuation, at) if n else (initial, -1)
+        end = next((e for e in range(len(word), least, -1) if word[at:e] in pieces), None)
+        if end is None and n and by_bytes:
+            at, n = at + 1, n + len(word[at].encode())
+            continue
         if end is None:
             return 0
         at, n = end, n + 1

@@ -137,6 +137,21 @@ def test_token_counts_match_greedy_pieces(spark, sf, sample):
     assert got[15].n_words == got[15].n_tokens == 0
 
 
+def test_token_counts_of_digits_and_foreign_characters(spark):
+    initial, continuation = map(set, tokencount.read_pieces())
+    auto = tokencount.Automaton.build(sorted(initial), sorted(continuation), tokencount.has_bytes())
+    words = ["2024", "12,500", "4111111111111111", "ñandú", "ÉTÉ", "私は毎日東京の学校で日本語を勉強します。", "\U0001f980\U0001f980x", "a\U0001f980b"]
+    want = [tokencount.brute_length(w, initial, continuation, True) for w in words]
+    assert [auto.length(w) for w in words] == want and want[:3] == [5, 7, 17] and all(n > 1 for n in want)
+    for bare in (["a", "abcd", ""], ["abcd", ""], ["a"]):
+        small = tokencount.Automaton.build(bare, ["b", "cde", "xyz"], True)
+        for w in ("abcde", "abcx", "xyé", "xyzc", "b", "cd", "é"):
+            assert small.length(w) == tokencount.brute_length(w, set(bare), {"b", "cde", "xyz"}, True), (bare, w)
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    got = docs.select(tokencount.token_counts(spark, "text").alias("n")).first().n
+    assert (got.n_words, got.n_tokens, got.n_unknown) == (len(words), sum(want), 0)
+
+
 def test_language_id(spark, sf):
     got = {r.page_id: r for r in langid.op5(spark, sf).collect()}
     assert len(got) == 3 and got[1].declared == "fr" and got[1].host == "a.example.fr" and got[2].lang in ("en", "fr")
