@@ -104,7 +104,7 @@ def sentence_split(spark, sf):
 
 @query()
 def proper_nouns(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.array_join(text.proper_nouns(F.substring("text", 1, 300)), "; ").alias("nouns"))
+    return t(spark, sf, "documents").select("doc_id", F.array_join(text.proper_nouns(F.col("text")), "; ").alias("nouns"))
 
 
 @query()
