@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 import zlib
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one encoded chunk or Arrow slice holds at most, unless one text alone is longer.
 CHUNK_BYTES = 8 << 20
 
+#: Keys that may be joined by broadcast.
+HOT = 1024
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -23,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where it is unset (tests, one machine) a temporary one."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = getattr(spark.sparkContext, "_quillspark_dir", None)
         if not at:
             at = spark.sparkContext._quillspark_dir = tempfile.mkdtemp(prefix="quillspark-")
@@ -59,6 +65,32 @@ def _clean() -> None:
             return
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of each row in a column; written, so that the numbers stay when tasks run again."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has, in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_by_size(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of rows with a table of one row per key, whose column n has how many rows the key has.
+
+    Keys of at least 1 / HOT of all rows, of which there are at most HOT, are joined by broadcast, the others by a shuffle.
+    """
+    table = materialize(table, "by-size")
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) >= max(1.0, total / HOT)
+    often = F.broadcast(table.where(hot))
+    rare = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
+    return rows.join(often, key).unionByName(rare.join(table.where(~hot), key))
+
+
 def crc_mod(col: str | Column, n: int) -> Column:
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"), F.lit("")).cast("binary")) % n
