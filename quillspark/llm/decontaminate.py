@@ -15,7 +15,6 @@ slices cost further narrow passes over the documents and never a larger broadcas
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -187,20 +186,3 @@ def op2(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = window_hits(docs.select("doc_id", "text"), benchmark)
     return found.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), digest(F.col("hits.items")).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
-
-
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], window: int = WINDOW) -> list[tuple]:
-    """The contract's digest by plain comparison, for tests."""
-    lists = [(str(i), words_of((t or "").encode())) for i, t in items]
-    out = []
-    for doc, text in docs:
-        words, hit, found = words_of((text or "").encode()), set(), set()
-        for item, own in lists:
-            n = min(window, len(own))
-            for k in range(len(own) - n + 1 if n else 0):
-                for at in range(len(words) - n + 1):
-                    if words[at : at + n] == own[k : k + n]:
-                        hit.update(range(at, at + n))
-                        found.add(item)
-        out.append((doc, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    return out

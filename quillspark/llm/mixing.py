@@ -14,35 +14,31 @@ its source's words, and what is above is shared again by weight (all in window f
 table of sources).
 
 A null text has size 0; documents of size 0 are taken 0 times. A null source is a source of its
-own. Repeated rows are documents of their own that get equal copies where they tie. An empty table
-gives an empty result. Nothing but one row per source and round stays small; no source, however
-large, is gathered into one task.
+own. Rows of one id and text are numbered and so are documents of their own: each draws its own
+number, null ids too. A very long text counts as a whole, so that its source may miss the target by its size.
+An empty table gives an empty result. Other columns are ignored. Nothing but one row per source and round stays small; no source, however
+large, is gathered into one task. Should Newton's iterations not meet every target, an error is raised.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillspark.llm.common import discard, materialize, raw_texts
+from quillspark.llm.common import discard, materialize
 
 #: Most copies of a document, and so most words of a source as a multiple of what it has.
 MOST = 3
 WEIGHTS = (1, 2, 3)
-ROUNDS = 40
+#: Iterations after which the bracket alone would have met any target.
+ROUNDS = 120
 BINS, LEVELS = 256, 4
 
 
-@F.arrow_udf(T.LongType())
-def _count(texts: pa.Array) -> pa.Array:
-    return pa.array([len(raw.split()) for raw in raw_texts(texts)], pa.int64())
-
-
 def token_size(text: str | Column) -> Column:
     """The number of runs of other than ASCII white space."""
-    return _count(text)
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -98,9 +94,9 @@ def _tilts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         before, state = state, materialize(step.select("source", "source_size", "target", "scale", "least", "high", "low", "tilt", "left"), f"mix-state-{i + 1}")
         discard(before)
         if (state.agg(F.max("left")).first()[0] or 0.0) < 1e-7:
-            break
-    discard(classes)
-    return state
+            discard(classes)
+            return state
+    raise ArithmeticError("the rates of some source do not meet its target")
 
 
 def _small(state: DataFrame, limit: int = 50_000) -> bool:
@@ -145,11 +141,22 @@ def _thresholds(rated: DataFrame, sources: DataFrame) -> DataFrame:
     return state.select("source", F.col("low").alias("cut"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """Per document (in a table of their own): id, source, size, whole, key, more; per source: target, tilt, cut."""
-    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), token_size(text).alias("size")), "mix-sizes")
+def _numbered_ties(sized: DataFrame) -> DataFrame:
+    """With a number n of each row among the rows of its tie: within each part of the table, after the rows of the parts before."""
+    counts = sized.groupBy("tie", "part").agg(F.count("*").alias("c"))
+    before = counts.withColumn("before", F.sum("c").over(Window.partitionBy("tie").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.where("before > 0").select("tie", "part", "before")  # ties over several parts
+    within = sized.withColumn("within", F.row_number().over(Window.partitionBy("tie", "part").orderBy("row")))
+    return within.join(before, ["tie", "part"], "left").withColumn("n", F.col("within") + F.coalesce("before", F.lit(0)))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per document (in a table of their own): id, row, source, size, whole, key, more; per source: target, tilt, cut."""
+    number = F.col(row).cast("long") if row else F.monotonically_increasing_id()
+    sized = docs.select(F.col(doc_id).alias("doc_id"), number.alias("row"), F.col(source).alias("source"), token_size(text).alias("size"), F.xxhash64(doc_id, text).alias("tie"), F.spark_partition_id().alias("part"))
+    sized = materialize(sized, "mix-sizes")
     sources = _tilts(sized, source_targets(sized))
-    rated = _rated(sized, sources)
+    rated = _rated(_numbered_ties(sized), sources)
     rated = materialize(rated, "mix-rated")
     cuts = materialize(_thresholds(rated, sources), "mix-cuts")
     cut = cuts.withColumnRenamed("source", "of")
@@ -160,42 +167,29 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 def _rated(sized: DataFrame, sources: DataFrame) -> DataFrame:
     s = sources.select(F.col("source").alias("of"), "tilt", "scale")
     rate = F.when(F.col("size") > 0, F.least(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(2.0))), F.lit(float(MOST)))).otherwise(0.0)
-    number = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id", "size"), F.lit(1 << 52)) / float(1 << 52)
+    number = F.pmod(F.xxhash64(F.lit("mixing"), "tie", "n"), F.lit(1 << 52)) / float(1 << 52)
     return (
         sized.join(F.broadcast(s) if _small(sources) else s, sized.source.eqNullSafe(s.of))
         .withColumn("rate", rate)
         .withColumn("whole", F.floor(F.col("rate")))
         .withColumn("more", (F.col("size") > 0) & (F.col("whole") < MOST))
         .withColumn("key", number - (F.col("rate") - F.col("whole")))
-        .select("doc_id", "source", "size", "rate", "whole", "more", "key")
+        .select("doc_id", "row", "source", "size", "rate", "whole", "more", "key")
     )
 
 
-def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size, rate, source_size, target, copies for every row of docs."""
-    rated, plan = mixed(docs, doc_id, text, source)
+def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
+    """doc_id, row, source, size, rate, source_size, target, copies for every row of docs.
+
+    row: a column of numbers that tell the rows apart; without one, rows are numbered.
+    """
+    rated, plan = mixed(docs, doc_id, text, source, row)
     p = plan.select(F.col("source").alias("of"), "source_size", "target", "cut")
     joined = rated.join(F.broadcast(p) if _small(plan) else p, rated.source.eqNullSafe(p.of))
     extra = (F.col("more") & (F.col("key") < F.col("cut"))).cast("long")
-    return joined.select("doc_id", "source", "size", "rate", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+    return joined.select("doc_id", "row", "source", "size", "rate", "source_size", "target", (F.col("whole") + extra).alias("copies"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return copies(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def exact_targets(sizes: dict) -> dict:
-    """Targets by the contract's own loop, for tests."""
-    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(names)}
-    left, target, full = float(sum(sizes.values())), {}, set()
-    while len(full) < len(names):
-        open_ = [s for s in names if s not in full]
-        share = (left - sum(MOST * sizes[s] for s in full)) / sum(weight[s] for s in open_)
-        over = {s for s in open_ if share * weight[s] > MOST * sizes[s]}
-        target = {s: MOST * sizes[s] if s in full else share * weight[s] for s in names}
-        if not over:
-            break
-        full |= over
-    return {s: float(MOST * sizes[s]) if s in full else target[s] for s in names}

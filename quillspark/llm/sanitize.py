@@ -158,9 +158,13 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     return held.join(telling, "t", "left_semi").groupBy("row").agg(F.array_sort(F.collect_set("t")).alias("terms"))
 
 
-def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row, base and terms: arrays of struct<kind,start,end,hit>, one row per row of docs; text only where there are spans."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str | None = None) -> DataFrame:
+    """doc_id, key, row, base and terms: arrays of struct<kind,start,end,hit>, one row per row of docs; text only where there are spans.
+
+    key: a column of numbers that is passed through, to tell repeated rows apart.
+    """
+    number = F.col(key).cast("long") if key else F.lit(None).cast("long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), number.alias("key"), F.xxhash64(doc_id, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = rows.withColumn("base", base_spans(F.col("text")))
     spans = materialize(spans.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii-spans")
     telling = materialize(disclosing(spans.where(F.size("base") > 0), rows.select("row", "text")), "pii-telling")
@@ -172,9 +176,9 @@ def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     inside = lambda m: F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
     hits = F.transform(F.filter(_matches(F.col("text"), word), lambda m: ~inside(m)), lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit")))
     none = F.expr(f"cast(array() as {HITS})")
-    marked = marked.select("doc_id", "row", "text", "base", F.when(F.size("terms") > 0, hits).otherwise(none).alias("terms"))
+    marked = marked.select("doc_id", "key", "row", "text", "base", F.when(F.size("terms") > 0, hits).otherwise(none).alias("terms"))
     rest = spans.where(F.size("base") == 0).join(bare, "row", "left_anti")
-    return marked.unionByName(rest.select("doc_id", "row", "text", "base", none.alias("terms")))
+    return marked.unionByName(rest.select("doc_id", "key", "row", "text", "base", none.alias("terms")))
 
 
 def sanitized(text: Column, base: Column, terms: Column, term_with: str = "") -> Column:

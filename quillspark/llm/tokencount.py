@@ -169,16 +169,3 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("n", token_counts(spark, "text")).select("doc_id", "n.n_words", "n.n_tokens", "n.n_unknown")
 
 
-def brute_length(word: str, initial: set[str], continuation: set[str], by_bytes: bool = False) -> int:
-    """Greedy longest match by trying every end, for tests."""
-    at = n = 0
-    while at < len(word):
-        pieces, least = (continuation, at) if n else (initial, -1)
-        end = next((e for e in range(len(word), least, -1) if word[at:e] in pieces), None)
-        if end is None and n and by_bytes:
-            at, n = at + 1, n + len(word[at].encode())
-            continue
-        if end is None:
-            return 0
-        at, n = end, n + 1
-    return n

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from quillspark.llm import brown, decontaminate, langid, mixing, orderminhash, quality, sanitize, suffixdedup, tokencount, toxicity
+import plain
 from llm_rows import documents, prose
 
 
@@ -93,7 +94,7 @@ def test_brown_moves_raise_the_likelihood():
 
 def test_decontaminate_matches_brute_force(spark, sf, sample):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    expected = sorted(decontaminate.brute_force([(i, t) for i, t, *_ in sample], bench), key=repr)
+    expected = sorted(plain.brute_force([(i, t) for i, t, *_ in sample], bench), key=repr)
     assert rows(decontaminate.op2(spark, sf)) == expected
     docs, b = documents(spark, sample), spark.read.parquet(f"{sf}/benchmark.parquet")
     sliced = decontaminate.window_hits(docs, b, slice_bytes=60).select("doc_id", "hits.n_hit")
@@ -111,7 +112,7 @@ def test_mixing_targets_and_copies(spark, sf, sample):
     sizes = Counter()
     for _, t, _, s in sample:
         sizes[s] += len((t or "").encode().split())
-    targets = mixing.exact_targets(dict(sizes))
+    targets = plain.exact_targets(dict(sizes))
     got = mixing.op3(spark, sf).collect()
     assert len(got) == len(sample) and abs(sum(targets.values()) - sum(sizes.values())) < 1e-6
     taken, most = Counter(), Counter()
@@ -125,14 +126,27 @@ def test_mixing_targets_and_copies(spark, sf, sample):
     assert rows(mixing.op3(spark, sf)) == sorted((tuple(r) for r in got), key=repr)
 
 
+def test_mixing_numbers_rows_that_tie(spark):
+    """Null ids and repeated rows are documents of their own, so targets are met to one document."""
+    words = " ".join(["w"] * 10)
+    rows_ = [(None, words, "en", "a")] * 300 + [(i, words, "en", "b") for i in range(300)] + [(7, words, "en", "c")] * 300
+    got = mixing.copies(documents(spark, rows_).repartition(3)).collect()
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert len(own) == 300 and abs(sum(r.copies * r["size"] for r in own) - own[0].target) <= 10
+    again = mixing.copies(documents(spark, rows_).repartition(2)).collect()
+    key = lambda r: (r.source, str(r.doc_id), r.copies)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
 def test_token_counts_match_greedy_pieces(spark, sf, sample):
     initial, continuation = map(set, tokencount.read_pieces())
     auto = tokencount.Automaton.build(sorted(initial), sorted(continuation))
     words = {w for _, t, *_ in sample if t for w in t.split()} | {"unbelievable", "x" * 40, "été", "日本語", "a.b,c"}
-    assert [auto.length(w) for w in sorted(words)] == [tokencount.brute_length(w, initial, continuation) for w in sorted(words)]
+    assert [auto.length(w) for w in sorted(words)] == [plain.brute_length(w, initial, continuation) for w in sorted(words)]
     small = tokencount.Automaton.build(["a", "abcd", "ab"], ["b", "c", "bc", "cde"])
     for w in ("abcde", "abc", "abbc", "acde", "abcdx", "b", ""):
-        assert small.length(w) == tokencount.brute_length(w, {"a", "abcd", "ab"}, {"b", "c", "bc", "cde"}), w
+        assert small.length(w) == plain.brute_length(w, {"a", "abcd", "ab"}, {"b", "c", "bc", "cde"}), w
     got = {r.doc_id: r for r in tokencount.op4(spark, sf).collect() if r.doc_id is not None}
     assert got[15].n_words == got[15].n_tokens == 0
 
@@ -141,12 +155,12 @@ def test_token_counts_of_digits_and_foreign_characters(spark):
     initial, continuation = map(set, tokencount.read_pieces())
     auto = tokencount.Automaton.build(sorted(initial), sorted(continuation), tokencount.has_bytes())
     words = ["2024", "12,500", "4111111111111111", "ñandú", "ÉTÉ", "私は毎日東京の学校で日本語を勉強します。", "\U0001f980\U0001f980x", "a\U0001f980b"]
-    want = [tokencount.brute_length(w, initial, continuation, True) for w in words]
+    want = [plain.brute_length(w, initial, continuation, True) for w in words]
     assert [auto.length(w) for w in words] == want and want[:3] == [5, 7, 17] and all(n > 1 for n in want)
     for bare in (["a", "abcd", ""], ["abcd", ""], ["a"]):
         small = tokencount.Automaton.build(bare, ["b", "cde", "xyz"], True)
         for w in ("abcde", "abcx", "xyé", "xyzc", "b", "cd", "é"):
-            assert small.length(w) == tokencount.brute_length(w, set(bare), {"b", "cde", "xyz"}, True), (bare, w)
+            assert small.length(w) == plain.brute_length(w, set(bare), {"b", "cde", "xyz"}, True), (bare, w)
     docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
     got = docs.select(tokencount.token_counts(spark, "text").alias("n")).first().n
     assert (got.n_words, got.n_tokens, got.n_unknown) == (len(words), sum(want), 0)

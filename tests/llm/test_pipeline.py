@@ -1,6 +1,8 @@
 """The pipeline against its operators' own brute force, stage by stage."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+from quillspark.llm.common import materialize
 from llm_rows import documents, prose
 
 
@@ -27,3 +29,34 @@ def test_stages_take_effect(spark, tmp_path):
     assert "[email]" in seen["personal_data"][203].text and seen["personal_data"][5].text == rows[5][1] and seen["personal_data"][204].text is None
     assert all(1 <= r.copies <= 3 for r in seen["mixing"].values()) and set(seen["mixing"]) <= clean
     assert sorted((r.doc_id, r.copies) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.copies) for r in seen["mixing"].values())
+
+
+def tables(spark, path, rows, extra=""):
+    """Tables whose documents have the columns listed in extra besides."""
+    docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    for i, name in enumerate(extra.split()):
+        docs = docs.withColumn(name, F.lit(i))
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path, [])).count() == 0
+
+
+def test_rows_are_told_apart_and_names_may_clash(spark, tmp_path):
+    same = prose(1, 90)
+    rows = [(None, same, "en", "a"), (None, same, "en", "b"), (None, prose(2, 90), None, None), (3, prose(3, 90), "en", "a"), (3, prose(4, 90) + " x@y.example", "en", "b"), (4, prose(5, 90), "en", "b"), (4, prose(5, 90), "en", "b"), (5, None, "en", "a")]
+    extra = "size target copies _id _row _new _size _gone _hits row_number new_text hits toxicity key row first"
+    at = tables(spark, tmp_path, rows, extra)
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, at), name)
+        assert docs.columns == [*corpus_pipeline.COLUMNS, *extra.split()], name
+    kept = sorted(str((r.doc_id, (r.text or "")[:12])) for r in docs.collect())
+    # one row of each text stays, whatever its id
+    assert kept == sorted(str((i, (t or "")[:12])) for i, t in [(None, same), (None, rows[2][1]), (3, rows[3][1]), (3, rows[4][1]), (4, rows[5][1]), (5, None)])
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, at)
+    assert mixed.columns == [*docs.columns, "size_", "target_", "copies_"] and mixed.where("copies_ > 0").count() == mixed.count() > 0
