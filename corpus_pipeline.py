@@ -2,6 +2,11 @@
 
 Toxic documents go; one document of each near-duplicate class stays; documents with benchmark passages go; personal
 data and terms that disclose it are replaced in the text; the rest is mixed by source into copies.
+
+Stages decide by row, not by id: where a stage joins its findings to its documents, rows are numbered first, so that null
+and repeated ids and repeated rows lose and gain nothing. Null texts are empty; empty texts are clean of everything and
+are taken 0 times by the mix. Very long texts are treated as wholes. Ties are settled by each operator. Other columns than those of
+documents are kept, whatever their names; the mix puts an underscore after its own columns' names where these are taken. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, mixing, orderminhash, sanitize, toxicity
-from quillspark.llm.common import materialize
+from quillspark.llm.common import materialize, numbered, unused
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -18,37 +23,44 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score is below one half; the model learns from labels outside the held-out fold."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = docs.withColumn("_toxicity", toxicity.toxicity(spark, model, "text"))
-    return scored.where(F.col("_toxicity.score") < 0.5).drop("_toxicity")
+    name = unused("toxicity", docs)
+    return docs.withColumn(name, toxicity.toxicity(spark, model, "text")).where(F.col(f"{name}.score") < 0.5).drop(name)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class; documents without words or without an id can't be told apart and stay."""
-    classes = orderminhash.near_duplicates(docs).where("n_words > 0")
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The document with the least id of each class; documents without words can't be told apart and stay."""
+    row = unused("row_number", docs)
+    rows = numbered(docs, row)
+    kept = orderminhash.near_duplicates(rows, row=row).where("first or n_words = 0").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    hits = decontaminate.window_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="_hits")
-    return hits.where(F.col("_hits.n_hit") == 0).drop("_hits")
+    name = unused("hits", docs)
+    hits = decontaminate.window_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into=name)
+    return hits.where(F.col(f"{name}.n_hit") == 0).drop(name)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data generalised to its kind and disclosing terms removed."""
-    found = sanitize.spans_of(docs).where(F.size(F.concat("base", "terms")) > 0)
-    changed = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), sanitize.sanitized(F.col("text"), F.col("base"), F.col("terms")).alias("_new")).dropDuplicates(["_id", "_row"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("doc_id", "text") == F.col("_row"))
-    joined = docs.join(changed, same, "left").withColumn("text", F.coalesce("_new", "text"))
-    return joined.withColumn("n_chars", F.when(F.col("_new").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_id", "_row", "_new")
+    row, new = unused("row_number", docs), unused("new_text", docs)
+    rows = numbered(docs, row)
+    found = sanitize.spans_of(rows, key=row).where(F.size(F.concat("base", "terms")) > 0)
+    changed = found.select(F.col("key").alias(row), sanitize.sanitized(F.col("text"), F.col("base"), F.col("terms")).alias(new))
+    joined = rows.join(changed, row, "left")
+    text = F.coalesce(F.col(new), F.col("text"))
+    n_chars = F.when(F.col(new).isNotNull(), F.char_length(new).cast("long")).otherwise(F.col("n_chars"))
+    return joined.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of their copies."""
-    plan = mixing.copies(docs).select(F.col("doc_id").alias("_id"), "size", "target", "copies").where("copies > 0").dropDuplicates(["_id", "size"])
-    sized = docs.withColumn("_size", mixing.token_size("text"))
-    return sized.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size"))).select(*docs.columns, "size", "target", "copies")
+    """The documents that the mix takes, with the size, the target of their source and the number of their copies."""
+    row = unused("row_number", docs)
+    rows = numbered(docs, row)
+    own = {name: unused(name, docs) for name in ("size", "target", "copies")}
+    plan = mixing.copies(rows, row=row).where("copies > 0").select(F.col("row").alias(row), *(F.col(k).alias(v) for k, v in own.items()))
+    return rows.join(plan, row).select(*docs.columns, *own.values())
 
 
 STAGES = [
