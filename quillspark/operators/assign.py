@@ -52,9 +52,10 @@ def hard_negatives(items: DataFrame, n: int = 30, least: float = 0.0, stated: Co
     stated: a condition on a.* that names the items asked about; without it every item is, which is for small sets.
     """
     a, b = items.alias("a"), items.alias("b")
-    pairs = a.join(b, (F.col("a.topic") == F.col("b.topic")) & (F.col("a.item") < F.col("b.item")) & (F.col("a.grp") != F.col("b.grp")))
-    pairs = pairs.where(stated) if stated is not None else pairs
-    scored = pairs.select(F.col("a.item").alias("a"), F.col("b.item").alias("b"), F.round(cosine(F.col("a.vector"), F.col("b.vector")), 6).alias("similarity"))
+    order = F.col("a.item") < F.col("b.item") if stated is None else F.col("a.item") != F.col("b.item")
+    pairs = (a if stated is None else a.where(stated)).join(b, (F.col("a.topic") == F.col("b.topic")) & order & (F.col("a.grp") != F.col("b.grp")))
+    scored = pairs.select(F.least("a.item", "b.item").alias("a"), F.greatest("a.item", "b.item").alias("b"), F.round(cosine(F.col("a.vector"), F.col("b.vector")), 6).alias("similarity"))
+    scored = scored if stated is None else scored.distinct()  # a pair of stated items is met from both sides
     return scored.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "a", "b").limit(n)
 
 

@@ -26,6 +26,18 @@ def followed(stories: DataFrame, story_follows: DataFrame, topic_follows: DataFr
     return direct.unionByName(by_topic).distinct()
 
 
+def followed_counts(stories: DataFrame, own: DataFrame, topics: DataFrame) -> DataFrame:
+    """user, n, first_story of what `followed` lists, for stories(story, topic) of one topic each, without listing it.
+
+    own: user, story; topics: user, topic. Stories are counted by topic first; own stories count where their topic isn't followed.
+    """
+    by_topic = stories.groupBy("topic").agg(F.count("*").alias("n"), F.min("story").alias("first_story"))
+    topics = topics.distinct()
+    apart = own.distinct().join(stories, "story").join(topics, ["user", "topic"], "left_anti").select("user", F.lit(1).alias("n"), F.col("story").alias("first_story"))
+    every = topics.join(by_topic, "topic").select("user", "n", "first_story").unionByName(apart)
+    return every.groupBy("user").agg(F.sum("n").alias("n"), F.min("first_story").alias("first_story"))
+
+
 def feed_order(has_changes: Column, updated: Column, ident: Column) -> list[Column]:
     return [F.desc(has_changes), F.desc(updated), ident.asc()]
 

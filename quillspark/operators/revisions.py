@@ -83,7 +83,22 @@ def labels(items: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame
     return joined.select(*keys, F.coalesce("decided", F.when(F.col("agree"), F.col("value_a"))).alias("value"), source.alias("label_source"))
 
 
+#: Windows of private texts that may be broadcast, and characters of a text that are cut into windows at once.
+SMALL_WINDOWS, CUT = 1_000_000, 1_000
+
+
 def text_leaks(output: DataFrame, private: DataFrame, length: int = 20) -> DataFrame:
-    """output ids with a window of `length` characters that a private text has. Both: id, text; windows meet by equi-join."""
-    windows = lambda df: df.where(F.char_length("text") >= length).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("text") - length + 1), lambda i: F.substring("text", i, F.lit(length)))).alias("w")).distinct()
-    return windows(output).join(windows(private).select("w").distinct(), "w", "left_semi").select("id").distinct()
+    """output ids with a window of `length` characters that a private text has. Both: id, text; windows meet by equi-join.
+
+    The windows of the private texts are broadcast where they are few; else both sides are shuffled.
+    """
+
+    def windows(df: DataFrame) -> DataFrame:
+        starts = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / CUT).cast("int"))
+        parts = df.where(F.char_length("text") >= length).select("id", F.explode(F.transform(starts, lambda i: F.substring("text", i * CUT + 1, F.lit(CUT + length - 1)))).alias("part"))
+        parts = parts.where(F.char_length("part") >= length)
+        return parts.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("part") - length + 1), lambda i: F.substring("part", i, F.lit(length)))).alias("w"))
+
+    secret = windows(private).select("w").distinct()
+    small = secret.count() <= SMALL_WINDOWS
+    return windows(output).join(F.broadcast(secret) if small else secret, "w", "left_semi").select("id").distinct()

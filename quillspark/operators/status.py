@@ -68,7 +68,7 @@ def gate_two(labels: DataFrame) -> DataFrame:
     )
 
 
-def sides(pairs: DataFrame, most: int = 64) -> DataFrame:
+def sides(pairs: DataFrame) -> DataFrame:
     """claim_id, quote, side: quotes that an incompatible pair sets apart, and what agrees with them.
 
     pairs: claim_id, a, b, label. The lesser quote of an incompatible pair is on side 0 with all that agreement reaches from it; the others are on side 1.
@@ -78,10 +78,7 @@ def sides(pairs: DataFrame, most: int = 64) -> DataFrame:
     agree = pairs.where("label = 'agree'").select("claim_id", "a", "b")
     edges = agree.unionByName(agree.select("claim_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     reached, n = seeds.checkpoint(), -1
-    for _ in range(most):
-        found = reached.count()
-        if found == n:
-            break
+    while (found := reached.count()) != n:
         n = found
         more = edges.join(reached.withColumnRenamed("quote", "a"), ["claim_id", "a"]).select("claim_id", F.col("b").alias("quote"))
         reached = reached.unionByName(more).distinct().checkpoint()

@@ -67,9 +67,10 @@ def history_last_status(spark, sf):
     return latest.last_status(lines, lines.where("l_returnflag = 'R' and l_linenumber = 7"), "l_partkey", F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_linestatus", "O")
 
 
-@query("""select source, sha256(string_agg('{"lang":"' || lang || '","n_chars":' || n_chars || '}', chr(10) order by '{"lang":"' || lang || '","n_chars":' || n_chars || '}')) content from documents group by source""")
+@query("""with h as (select source, sha256('{"lang":"' || lang || '","n_chars":' || n_chars || '}') h from documents)
+select source, count(*) || ':' || sum(('0x' || substr(h, 1, 13))::bigint) || ':' || sum(('0x' || substr(h, 14, 13))::bigint) content from h group by source""")
 def content_equality(spark, sf):
-    return t(spark, sf, "documents").groupBy("source").agg(F.collect_list(F.struct("lang", "n_chars")).alias("rows")).select("source", ident.content_hash(F.col("rows")).alias("content"))
+    return t(spark, sf, "documents").groupBy("source").agg(ident.content_digest("lang", "n_chars").alias("content"))
 
 
 @query("""select c.doc_id, c.lang from documents c join (select source, max(doc_id) m from documents group by 1) x on c.source = x.source and c.doc_id > x.m - 100""")
@@ -104,14 +105,17 @@ def needs_reprocess(spark, sf):
     return t(spark, sf, "orders").groupBy("o_custkey").agg(needs.alias("needs"))
 
 
-@query("""with f as (select o_custkey usr, o_orderkey story from orders union select c_custkey, o_orderkey from customer, orders where c_custkey % 500 = 0 and o_orderpriority = '1-URGENT')
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(f"""with f as (select o_custkey usr, o_orderkey story from orders union select c_custkey, o_orderkey from customer join orders on o_orderpriority = ({PRIORITIES})[c_custkey % 5 + 1])
 select usr, count(*) n, min(story) first_story from f group by usr""")
 def topic_overlap_feed(spark, sf):
     orders, customers = t(spark, sf, "orders"), t(spark, sf, "customer")
-    stories = orders.select(F.col("o_orderkey").alias("story"), F.array("o_orderpriority").alias("topics"))
+    stories = orders.select(F.col("o_orderkey").alias("story"), F.col("o_orderpriority").alias("topic"))
     own = orders.select(F.col("o_custkey").alias("user"), F.col("o_orderkey").alias("story"))
-    topics = customers.where("c_custkey % 500 = 0").select(F.col("c_custkey").alias("user"), F.lit("1-URGENT").alias("topic"))
-    return feed.followed(stories, own, topics).groupBy(F.col("user").alias("usr")).agg(F.count("*").alias("n"), F.min("story").alias("first_story"))
+    topics = customers.select(F.col("c_custkey").alias("user"), F.element_at(F.array(*map(F.lit, PRIORITIES)), (F.col("c_custkey") % 5 + 1).cast("int")).alias("topic"))
+    return feed.followed_counts(stories, own, topics).withColumnRenamed("user", "usr")
 
 
 @query("select l_orderkey, arg_min(l_partkey, epoch(l_shipdate) * 10 + l_linenumber) filter (l_returnflag = 'R') part from lineitem where l_returnflag = 'R' group by 1")

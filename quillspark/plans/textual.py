@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text, url
-from quillspark.operators import dedup, diffs, realign
+from quillspark.operators import dedup, diffs, realign, revisions
 from quillspark.session import table as t
 
 QUERIES, ORACLES = {}, {}
@@ -74,9 +74,9 @@ def term_title_match(spark, sf):
     return rest.join(words, ["doc_id", "word"], "left_semi").select("item_id", "doc_id")
 
 
-@query(r"""with d as (select doc_id, list_distinct(regexp_extract_all(lower(left(text, 200)), '[a-z0-9]{3,}')) k from documents) select a.doc_id, round(coalesce(len(list_intersect(a.k, b.k)) / nullif(len(list_distinct(list_concat(a.k, b.k))), 0), 0), 6) similarity from d a join d b on b.doc_id = a.doc_id + 1""")
+@query(r"""with d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) k from documents) select a.doc_id, round(coalesce(len(list_intersect(a.k, b.k)) / nullif(len(list_distinct(list_concat(a.k, b.k))), 0), 0), 6) similarity from d a join d b on b.doc_id = a.doc_id + 1""")
 def title_token_jaccard(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", text.title_tokens(F.substring("text", 1, 200)).alias("k"))
+    d = t(spark, sf, "documents").select("doc_id", text.title_tokens(F.col("text")).alias("k"))
     b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("k").alias("kb"))
     return d.join(b, "doc_id").select("doc_id", F.round(text.jaccard(F.col("k"), F.col("kb")), 6).alias("similarity"))
 
@@ -90,10 +90,13 @@ def recheck_judgement(spark, sf):
     return d.select("doc_id", text.recheck_judgement(F.col("text"), now).alias("judgement"))
 
 
-@query(r"select count(*) leaks from (select distinct substr(text, 1, 20) w from documents where length(text) >= 20) d join (select distinct substr(text, 1, 20) w from benchmark) b using (w)")
+@query(r"""with w as (select distinct substr(text, i, 20) w from (select text, unnest(range(1, length(text) - 18)) i from benchmark where length(text) >= 20)),
+b as (select doc_id, substr(text, k * 1000 + 1, 1019) part from (select doc_id, text, unnest(range(0, (length(text) - 1) // 1000 + 1)) k from documents where length(text) >= 20)),
+d as (select doc_id, substr(part, i, 20) w from (select doc_id, part, unnest(range(1, length(part) - 18)) i from b where length(part) >= 20)) select distinct doc_id from d semi join w using (w)""")
 def text_leaks(spark, sf):
-    head = lambda n: t(spark, sf, n).where(F.char_length("text") >= 20).select(F.substring("text", 1, 20).alias("w")).distinct()
-    return head("documents").join(head("benchmark"), "w", "left_semi").agg(F.count("*").alias("leaks"))
+    docs, private = t(spark, sf, "documents"), t(spark, sf, "benchmark")
+    found = revisions.text_leaks(docs.select(F.col("doc_id").alias("id"), "text"), private.select(F.col("item_id").alias("id"), "text"))
+    return found.select(F.col("id").alias("doc_id"))
 
 
 @query()

@@ -52,7 +52,7 @@ def assignment_decision(spark, sf):
     return assign.decide(_candidates(spark, sf), **LOOSE)
 
 
-@query("""with e as (select vec_id, label, embedding::double[] v from embeddings) select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.v, b.v), 6) similarity from e a join e b on a.label % 3 = b.label % 3 and a.vec_id < b.vec_id and a.label <> b.label where a.vec_id % 50 = 0 order by similarity desc, a, b limit 30""")
+@query("""with e as (select vec_id, label, embedding::double[] v from embeddings) select distinct least(a.vec_id, b.vec_id) a, greatest(a.vec_id, b.vec_id) b, round(list_cosine_similarity(a.v, b.v), 6) similarity from e a join e b on a.label % 3 = b.label % 3 and a.vec_id <> b.vec_id and a.label <> b.label where a.vec_id % 50 = 0 order by similarity desc, a, b limit 30""")
 def hard_negative_pairs(spark, sf):
     e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), (F.col("label") % 3).alias("topic"), F.col("label").alias("grp"), F.col("embedding").alias("vector"))
     return assign.hard_negatives(e, 30, stated=F.col("a.item") % 50 == 0, least=-1.0)
