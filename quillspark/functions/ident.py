@@ -48,3 +48,13 @@ def seeded_rank(seed: str, key: Column) -> Column:
 
 def neutral_order(*parts: Column) -> Column:
     return sha(F.concat_ws("|", *parts))
+
+
+def evidence_key(evidence: Column) -> Column:
+    """The spans of a claim as one string: version:start-end, sorted. evidence: an array of version, start and end."""
+    return F.array_join(F.array_sort(F.transform(evidence, lambda e: F.concat(e["version"].cast("string"), F.lit(":"), e["start"].cast("string"), F.lit("-"), e["end"].cast("string")))), "|")
+
+
+def only_known(quotes: Column, known: Column) -> Column:
+    """Whether a claim has quotes, all of them known."""
+    return (F.size(quotes) > 0) & (F.size(F.array_except(quotes, known)) == 0)

@@ -78,3 +78,18 @@ RETRY_MINUTES = (1, 5, 30, 60)
 def next_attempt(failures: Column, failed_at: Column) -> Column:
     wait = F.element_at(F.array(*map(F.lit, RETRY_MINUTES)), F.least(F.greatest(failures, F.lit(1)), F.lit(len(RETRY_MINUTES))).cast("int"))
     return failed_at.cast("timestamp") + F.make_dt_interval(mins=wait)
+
+
+def bin_label(start: Column, hours_long: int) -> Column:
+    """A span of the coverage chart in Seoul: `2026. 9. 17. 06:00~12:00`, of a whole day `2026. 9. 17.`."""
+    at = start.cast("timestamp") + hours(SEOUL)
+    day = F.date_format(at, "yyyy. M. d.")
+    if hours_long == 24:
+        return day
+    clock = lambda h: F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":00"))
+    return F.concat(day, F.lit(" "), clock(F.hour(at)), F.lit("~"), clock(F.hour(at) + hours_long))
+
+
+def story_window(first: Column, batch: Column) -> Column:
+    """From a day before a story's first report to the batch."""
+    return F.struct((first.cast("timestamp") - hours(24)).alias("start"), batch.cast("timestamp").alias("end"))
