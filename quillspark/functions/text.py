@@ -5,7 +5,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from difflib import SequenceMatcher
+from array import array
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -183,14 +185,35 @@ _DIFF = T.StructType([T.StructField("previous", _SEGMENTS), T.StructField("curre
 
 
 def word_segments(previous: str, current: str) -> dict[str, list[dict]]:
-    """Both sides as segments of words that changed or stayed."""
-    a, b = (re.findall(r"\S+\s*", x) for x in (previous, current))
-    sides: dict[str, list[dict]] = {"previous": [], "current": []}
-    for kind, i0, i1, j0, j1 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        for side, words in (("previous", a[i0:i1]), ("current", b[j0:j1])):
-            if words:
-                sides[side].append({"text": "".join(words), "changed": kind != "equal"})
-    return sides
+    """Both sides as segments of words that changed or stayed, by a longest common subsequence of the words.
+
+    Where several are longest, words of the previous side are passed over first.
+    """
+    a, b = previous.split(), current.split()
+    width = len(b) + 1
+    rows = [array("i", bytes(4 * width))]  # from the last word of a to its first: what a[i:] has in common with b[j:]
+    for word in reversed(a):
+        below, row = rows[-1], array("i", bytes(4 * width))
+        for j in range(width - 2, -1, -1):
+            row[j] = below[j + 1] + 1 if word == b[j] else max(below[j], row[j + 1])
+        rows.append(row)
+    rows.reverse()
+    marked: dict[str, list[tuple[bool, str]]] = {"previous": [], "current": []}
+    i = j = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            marked["previous"].append((False, a[i]))
+            marked["current"].append((False, b[j]))
+            i, j = i + 1, j + 1
+        elif rows[i + 1][j] >= rows[i][j + 1]:
+            marked["previous"].append((True, a[i]))
+            i += 1
+        else:
+            marked["current"].append((True, b[j]))
+            j += 1
+    marked["previous"] += [(True, w) for w in a[i:]]
+    marked["current"] += [(True, w) for w in b[j:]]
+    return {side: [{"text": " ".join(w for _, w in run), "changed": changed} for changed, run in groupby(words, key=itemgetter(0))] for side, words in marked.items()}
 
 
 def diff_words(previous: Column, current: Column) -> Column:

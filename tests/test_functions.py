@@ -1,4 +1,5 @@
 from datetime import datetime
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -83,3 +84,17 @@ def test_realigned_spans():
 def test_generator_is_uniform_and_fixed():
     a = evaluation.mulberry("seed", 2000)
     assert np.array_equal(a, evaluation.mulberry("seed", 2000)) and 0.45 < a.mean() < 0.55 and a.min() >= 0 and a.max() < 1
+
+
+def test_word_segments_share_a_longest_subsequence():
+    def longest(a, b):
+        return max((n for n in range(len(a) + 1) if any(list(x) in [list(y) for y in combinations(b, n)] for x in combinations(a, n))), default=0)
+
+    draw = np.random.default_rng(5)
+    for _ in range(60):
+        a, b = ([str(x) for x in draw.integers(0, 3, draw.integers(0, 7))] for _ in range(2))
+        found = text.word_segments(" ".join(a), " ".join(b))
+        sides = {k: [w for s in v for w in s["text"].split() if not s["changed"]] for k, v in found.items()}
+        assert sides["previous"] == sides["current"] and len(sides["current"]) == longest(a, b)
+        assert " ".join(s["text"] for s in found["previous"]).split() == a and " ".join(s["text"] for s in found["current"]).split() == b
+    assert text.word_segments("x y", "y x") == {"previous": [{"text": "x", "changed": True}, {"text": "y", "changed": False}], "current": [{"text": "y", "changed": False}, {"text": "x", "changed": True}]}
