@@ -327,11 +327,19 @@ def test_edit_distance_is_exact_within_the_band():
         for most in (0, 2, 5, 20):
             assert orderminhash.aligns(a, b, most) == (want <= most)
             if abs(len(a) - len(b)) <= most:
-                assert orderminhash._in_table(a, b, most, most) == orderminhash._in_band(a, b, most, most) == (want if want <= most else None)
+                assert orderminhash._in_bits(a, b, most) == orderminhash._in_table(a, b, most, most) == orderminhash._in_band(a, b, most, most) == (want if want <= most else None)
                 for band in (1, 3):
                     if abs(len(a) - len(b)) <= band:
                         found = orderminhash._in_table(a, b, band, most)
                         assert found == orderminhash._in_band(a, b, band, most) and (found is None or want <= found <= most)
+    for n in (60, 150):
+        for edits in range(n // 4):
+            a = r.integers(0, 50, n)
+            b = np.delete(np.insert(a, r.integers(0, n, edits // 2), 50), r.integers(0, n, edits // 3))
+            b[r.integers(0, len(b), edits // 3)] = 51
+            want, most = full(a, b), n // 5
+            assert orderminhash._in_bits(a, b, most) == (want if want <= most else None)
+            assert orderminhash.aligns(a, b, most) == (want <= most)
 
 
 def test_near_duplicates(spark, sf, sample):
