@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import brown, decontaminate, langid, mixing, orderminhash, quality, sanitize, suffixdedup, tokencount, toxicity
+from quillspark.llm import brown, decontaminate, fillmiddle, langid, mixing, orderminhash, quality, sanitize, suffixdedup, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.op8,
         "op9_suffix_dedup": suffixdedup.op9,
         "op10_order_minhash": orderminhash.op10,
+        "op11_fill_in_middle": fillmiddle.op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fill_in_middle": fillmiddle.OP11_SQL}
