@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import brown, decontaminate, fillmiddle, langid, mixing, orderminhash, quality, sanitize, suffixdedup, tokencount, toxicity
+from quillspark.llm import brown, decontaminate, fillmiddle, langid, mixing, orderminhash, quality, ranked, sanitize, suffixdedup, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": suffixdedup.op9,
         "op10_order_minhash": orderminhash.op10,
         "op11_fill_in_middle": fillmiddle.op11,
+        "op12_ranked_search": ranked.op12,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_fill_in_middle": fillmiddle.OP11_SQL}
+    return {"op11_fill_in_middle": fillmiddle.OP11_SQL, "op12_ranked_search": ranked.OP12_SQL}
