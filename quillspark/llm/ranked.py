@@ -95,7 +95,7 @@ class Shard:
         self.times = np.zeros(len(queries.vocabulary), np.int64)
 
     def top(self, terms: np.ndarray, times: np.ndarray, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and full scores of all that can be among the k best, if only scores of at least floor can."""
+        """Documents and full scores of the k best and their ties, if only scores of at least floor count."""
         here = self.groups[terms + 1] > self.groups[terms]
         terms, times = terms[here], times[here]
         scores = np.zeros(self.size, np.int64)
@@ -116,13 +116,21 @@ class Shard:
                 at[i] = end
         open_ = np.flatnonzero((scores > 0) & (scores + remaining >= least))
         if not remaining or not len(open_):
-            return open_, scores[open_]
+            return self._leading(open_, scores[open_], k)
         self.times[terms] = times
         first, lengths = self.ends[open_], np.diff(self.ends)[open_]
         rows = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
         full = np.add.reduceat(self.impacts[rows] * self.times[self.ids[rows]], np.cumsum(lengths) - lengths)
         self.times[terms] = 0
-        return open_, full
+        return self._leading(open_, full, k)
+
+    @staticmethod
+    def _leading(documents: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the k best scores, with all ties of the last one."""
+        if len(scores) > k:
+            lead = scores >= np.partition(scores, -k)[-k]
+            return documents[lead], scores[lead]
+        return documents, scores
 
 
 def _counts(shared, text: str):  # noqa: ANN001, ANN202
@@ -142,7 +150,7 @@ def _counts(shared, text: str):  # noqa: ANN001, ANN202
     return run
 
 
-def _best(shared, k: int):  # noqa: ANN001, ANN202
+def _best(shared, k: int, shard_bytes: int):  # noqa: ANN001, ANN202
     def order(row: tuple) -> tuple:
         return (-row[0], row[1] is None, row[1] if row[1] is not None else 0)
 
@@ -153,7 +161,7 @@ def _best(shared, k: int):  # noqa: ANN001, ANN202
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             raws, ids = raw_texts(batch.column("text")), batch.column("doc_id")
-            for start, end in slices([], [len(r) for r in raws], CHUNK_BYTES):
+            for start, end in slices([], [len(r) for r in raws], shard_bytes):
                 shard = Shard(queries, [words_of(r) for r in raws[start:end]])
                 for number, terms, times in queries.items:
                     so_far = best.get(number, [])
@@ -168,7 +176,7 @@ def _best(shared, k: int):  # noqa: ANN001, ANN202
     return run
 
 
-def search(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item: str = "item_id", item_text: str = "text", k: int = TOP, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item: str = "item_id", item_text: str = "text", k: int = TOP, slice_bytes: int = SLICE_BYTES, shard_bytes: int = CHUNK_BYTES) -> DataFrame:
     """item_id, rank (from 1), doc_id, score: the k best documents of each item with a score above 0."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -181,7 +189,7 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
         queries = Queries.of([(r.item, bytes(r.raw or b"")) for r in rows])
         counted = docs.select("text").mapInArrow(_counts(spark.sparkContext.broadcast(queries), "text"), "term long, n long")
         queries.weigh({r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()})  # a row a term of the slice
-        one = docs.mapInArrow(_best(spark.sparkContext.broadcast(queries), k), f"item long, doc_id {kind}, score long")
+        one = docs.mapInArrow(_best(spark.sparkContext.broadcast(queries), k, shard_bytes), f"item long, doc_id {kind}, score long")
         found = one if found is None else found.unionByName(one)
     ranks = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     top = found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
