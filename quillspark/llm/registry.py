@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import brown, decontaminate, fillmiddle, langid, mixing, orderminhash, quality, ranked, sanitize, suffixdedup, tokencount, toxicity
+from quillspark.llm import brown, decontaminate, fillmiddle, langid, maintext, mixing, orderminhash, quality, ranked, sanitize, suffixdedup, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_order_minhash": orderminhash.op10,
         "op11_fill_in_middle": fillmiddle.op11,
         "op12_ranked_search": ranked.op12,
+        "op13_main_text": maintext.op13,
     }
 
 
