@@ -122,3 +122,18 @@ def span_realign(spark, sf):
     d = t(spark, sf, "documents").where(F.char_length("text") >= 40).select("doc_id", "text", F.concat(F.substring("text", 1, 40), F.lit("  "), F.expr("substring(text, 41)")).alias("after"))
     r = realign.realign(F.col("text"), F.col("after"), F.lit(10), F.lit(30))
     return d.select("doc_id", r["start"].alias("first"), r["end"].alias("last"))
+
+
+_LONG = "select doc_id, text, length(text) n, 10 + doc_id % 40 s from documents where length(text) >= 80"
+
+
+@query(
+    f"select doc_id, case when s + 12 <= 25 then s + 2 when s >= 25 then s + 5 end \"first\", case when s + 12 <= 25 then s + 14 when s >= 25 then s + 17 end \"last\" from ({_LONG})"
+)
+def span_realign_edits(spark, sf):
+    """Spans before, across and behind edits: marks put in at 7, at 25 and five places before the end."""
+    parts = "concat(substring(text, 1, 7), '¤¤', substring(text, 8, 18), '¤¤¤', substring(text, 26, n - 30), '¤', substring(text, n - 4))"
+    d = t(spark, sf, "documents").where(F.char_length("text") >= 80).select("doc_id", "text", F.char_length("text").alias("n"))
+    d = d.select("doc_id", "text", F.expr(parts).alias("after"), (F.lit(10) + F.col("doc_id") % 40).alias("s"))
+    r = realign.realign(F.col("text"), F.col("after"), F.col("s"), F.col("s") + 12)
+    return d.select("doc_id", r["start"].cast("long").alias("first"), r["end"].cast("long").alias("last"))
