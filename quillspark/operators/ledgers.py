@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.ident import sha
 from quillspark.functions.times import window_of
 from quillspark.operators.assign import is_active
+from quillspark.session import settled
 
 # Hours after which an active article is looked at again, days for a dormant one, dormant ones a day and slot.
 ACTIVE_SLOTS = (("60h", 60), ("12h", 12))
@@ -24,10 +25,27 @@ def admitted(requests: DataFrame, user: str, time: str, ident: str, limits: dict
     return requests.withColumn("admitted", ok)
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with running sums in an order over all of them: sums within ranges of the order, plus what the ranges before add up to.
+
+    The totals of the ranges are as few as the shuffle has partitions; rows of one key stay in one range.
+    """
+    ranged = settled(rows.repartitionByRange(*order).withColumns({f"_of{c}": v for c, v in sums.items()}).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(*(F.sum(f"_of{c}").alias(c) for c in sums))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before{c}") for c in sums))
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.join(F.broadcast(offsets), "_range").withColumns({c: F.sum(f"_of{c}").over(w) + F.col(f"_before{c}") for c in sums})
+    return summed.drop("_range", *(f"_of{c}" for c in sums), *(f"_before{c}" for c in sums))
+
+
 def prefix_cut(jobs: DataFrame, order: list[Column], cost: str, cap: float, group: list[str] | None = None) -> DataFrame:
     """jobs with `spent` so far in the order and `runs`: whether it stays within the cap."""
-    w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return jobs.withColumn("spent", F.sum(cost).over(w)).withColumn("runs", F.col("spent") <= cap)
+    if group:
+        spent = jobs.withColumn("spent", F.sum(cost).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        spent = running(jobs, order, {"spent": F.col(cost)})
+    return spent.withColumn("runs", F.col("spent") <= cap)
 
 
 def plan_rechecks(candidates: DataFrame, now: Column, sampled: dict[str, int] | None = None) -> DataFrame:
