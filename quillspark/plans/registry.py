@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("serving", "timing", "vectors", "textual", "claims", "evals", "stories")
+MODULES: tuple[str, ...] = ("serving", "timing", "vectors", "textual", "claims", "evals", "stories", "batch")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
