@@ -1,19 +1,16 @@
-"""Slots, online clustering and admission as Structured Streaming."""
+"""Slots and version chains as Structured Streaming."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.functions import times
-from quillspark.operators.assign import CENTROID, LEAD, REPRESENTATIVE
 
 
 def read_events(spark: SparkSession, path: str, name: str, schema) -> DataFrame:  # noqa: ANN001
@@ -41,62 +38,6 @@ def append_batch(df: DataFrame, batch: int, path: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(v)
-    return v / n if n else v
-
-
-def cluster(rows: pd.DataFrame, stories: list[dict], centroid: float = CENTROID, representative: float = REPRESENTATIVE, lead: float = LEAD, active_s: float = 72 * 3600) -> list[tuple[str, str]]:
-    """(article, story) in the order of time and id; a story that an article makes is open to the next one.
-
-    stories, changed in place: story, sum and n of its vectors, first vector, last report in seconds.
-    """
-    out = []
-    for r in rows.sort_values(["published_s", "article"]).itertuples():
-        v = np.asarray(r.vector, float)
-        ranked = sorted(((float(_unit(v) @ _unit(s["sum"])), s["story"], s) for s in stories if 0 <= r.published_s - s["last"] <= active_s), key=lambda x: (-x[0], x[1]))
-        chosen = None
-        if ranked and ranked[0][0] >= centroid and float(_unit(v) @ _unit(ranked[0][2]["first"])) >= representative and (len(ranked) < 2 or ranked[0][0] - ranked[1][0] >= lead):
-            chosen = ranked[0][2]
-            chosen["sum"], chosen["n"], chosen["last"] = chosen["sum"] + v, chosen["n"] + 1, max(chosen["last"], r.published_s)
-        else:
-            chosen = {"story": f"s-{r.article}", "sum": v, "n": 1, "first": v, "last": r.published_s}
-            stories.append(chosen)
-        out.append((r.article, chosen["story"]))
-    return out
-
-
-def cluster_batch(articles: DataFrame, block: str) -> DataFrame:
-    """article, story within blocks (topic and day, say), which bound what one task folds in order. articles: article, published_at, vector, block."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(cluster(rows, []), columns=["article", "story"])
-
-    typed = articles.select(F.col("article").cast("string").alias("article"), F.unix_seconds(F.col("published_at").cast("timestamp")).alias("published_s"), "vector", F.col(block).alias("block"))
-    return typed.groupBy("block").applyInPandas(fold, "article string, story string")
-
-
-def admit(requests: DataFrame, most: int, user: str = "user_id", time: str = "ts", ident: str = "event_id") -> DataFrame:
-    """ident, admitted: the first `most` requests of a user in each minute, with one counter per user as state."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        minute, used = state.get if state.exists else (-1, 0)
-        for rows in batches:
-            rows = rows.sort_values(["s", "ident"])
-            out = []
-            for s in rows.s:
-                minute, used = (minute, used) if s // 60 == minute else (int(s // 60), 0)
-                used += 1
-                out.append(used <= most)
-            yield pd.DataFrame({"ident": rows.ident, "admitted": out})
-        state.update((minute, used))
-        if state.hasTimedOut:
-            state.remove()
-
-    slim = requests.select(F.col(user).alias("user"), F.col(ident).cast("long").alias("ident"), F.unix_seconds(F.col(time).cast("timestamp")).alias("s"))
-    return slim.groupBy("user").applyInPandasWithState(step, "ident long, admitted boolean", "minute long, used long", "append", GroupStateTimeout.NoTimeout)
-
-
 class VersionChain(StatefulProcessor):
     """New versions of articles: rows whose hash is not the last one of their key, whatever batch that came in."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import times
 from quillspark.sources import archive, news, registry
-from quillspark.streaming import slots
+from quillspark.streaming import slots, stateful
 
 EVENTS = "/root/testdata/sf0.001"
 
@@ -83,15 +83,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("slot", "count").collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_admission_stream(spark, tmp_path):
-    schema = spark.read.parquet(f"{EVENTS}/events.parquet").schema
-    out = slots.admit(slots.read_events(spark, EVENTS, "events", schema), 1)
-    q = out.writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    n = spark.read.parquet(f"{EVENTS}/events.parquet").groupBy("user_id", F.date_trunc("minute", "ts")).count().count()
-    assert spark.table("admitted").where("admitted").count() == n
-
-
 def test_online_clustering():
-    rows = pd.DataFrame({"article": ["a", "b", "c", "d"], "published_s": [0, 10, 20, 10**6], "vector": [np.array([1.0, 0]), np.array([1.0, 0.05]), np.array([0, 1.0]), np.array([1.0, 0])]})
-    assert slots.cluster(rows, []) == [("a", "s-a"), ("b", "s-a"), ("c", "s-c"), ("d", "s-d")]
+    rows = pd.DataFrame({"article": ["a", "b", "c", "d"], "at": [0, 10_000, 20_000, 10**9], "vector": [np.array([1.0, 0]), np.array([1.0, 0.05]), np.array([0, 1.0]), np.array([1.0, 0])]})
+    assert list(stateful.fold(rows, stateful.OpenStories()).itertuples(index=False, name=None)) == [("a", "s-a"), ("b", "s-a"), ("c", "s-c"), ("d", "s-d")]
