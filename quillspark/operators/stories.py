@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.vector import centroid
+from quillspark.operators.dedup import TOPICS
 from quillspark.operators.latest import latest
 from quillspark.operators.sinks import append_new
 
 
-def assigned(stories: DataFrame, known: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+def assigned(stories: DataFrame, known: DataFrame, incoming: DataFrame, now: Column, order: Sequence[str] = TOPICS) -> DataFrame:
     """stories(story, topics, centroid, last_report, processed, lifecycle) after articles were assigned to them; new stories are made.
 
-    known, incoming: article, story, vector, topics, published. Topics grow in their order, the centroid is that of all
+    known, incoming: article, story, vector, topics, published. Topics, old and new, stand in the given order (others are no topics); the centroid is that of all
     articles, the last report only moves forward, and a story with a new article is active. Others stay as they are.
     """
     every = known.select("story", "vector").unionByName(incoming.select("story", "vector"))
     touched = incoming.select("story").distinct()
     centroids = centroid(every.join(touched, "story", "left_semi"), "story", "vector", "_centroid")
-    added = incoming.groupBy("story").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("_topics"), F.max("published").alias("_published"))
+    added = incoming.groupBy("story").agg(F.array_distinct(F.flatten(F.collect_list("topics"))).alias("_topics"), F.max("published").alias("_published"))
     joined = stories.join(added.join(centroids, "story"), "story", "full_outer")
     new = F.col("_published").isNotNull()
-    none = F.expr("cast(array() as array<string>)")
+    no = F.lit(False)
     return joined.select(
         "story",
-        F.array_union(F.coalesce("topics", none), F.coalesce("_topics", none)).alias("topics"),
+        F.filter(F.array(*map(F.lit, order)), lambda t: F.coalesce(F.array_contains("topics", t), no) | F.coalesce(F.array_contains("_topics", t), no)).alias("topics"),
         F.coalesce("_centroid", "centroid").alias("centroid"),
         F.greatest("last_report", "_published").alias("last_report"),
         F.when(new, now).otherwise(F.col("processed")).alias("processed"),
@@ -56,6 +59,11 @@ def allowance(discovery: Column, recheck: Column, limit: int, share: int) -> Col
     return F.least(F.lit(share) - recheck, F.greatest(F.lit(limit) - discovery - recheck, F.lit(0)))
 
 
+def may_start(discovery: Column, recheck: Column, limit: int, share: int, each: int = 2) -> Column:
+    """Whether a recheck may begin: only if all the requests that it can take, a retry included, are left."""
+    return allowance(discovery, recheck, limit, share) >= each
+
+
 def strip(revisions: DataFrame, story: str, number: str, upto: Column) -> DataFrame:
     """Revisions of a story up to a number, each with whether it is the story's latest of all."""
     newest = revisions.groupBy(story).agg(F.max(number).alias("_newest"))

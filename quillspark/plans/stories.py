@@ -9,6 +9,7 @@ from quillspark.operators import stories
 from quillspark.session import table as t
 
 QUERIES, ORACLES = {}, {}
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 def query(sql: str | None = None):  # noqa: ANN201
@@ -32,7 +33,7 @@ def assign_apply(spark, sf):
     known, incoming = articles.where("article % 4 <> 0"), articles.where("article % 4 = 0")
     none, empty = F.lit(None), F.expr("cast(array() as array<string>)")
     before = known.groupBy("story").agg(F.max("published").alias("last_report")).select("story", empty.alias("topics"), none.cast("array<double>").alias("centroid"), "last_report", none.cast("timestamp").alias("processed"), F.lit("dormant").alias("lifecycle"))
-    after = stories.assigned(before, known, incoming, F.lit("2024-02-01").cast("timestamp"))
+    after = stories.assigned(before, known, incoming, F.lit("2024-02-01").cast("timestamp"), PRIORITIES)
     return after.select("story", "last_report", F.round(F.col("centroid")[0], 6).alias("centroid"), "lifecycle", F.when(F.size("topics") > 0, F.array_join("topics", ",")).alias("topics"))
 
 
@@ -70,10 +71,10 @@ def slot_leases(spark, sf):
     return stories.leases(runs, o.select(F.col("o_orderkey").alias("slot"), F.col("o_orderdate").alias("now")))
 
 
-@query("""select user_id, count(*) filter (event_type = 'view') discovery, least(20 - count(*) filter (event_type = 'click'), greatest(70 - count(*) filter (event_type = 'view') - count(*) filter (event_type = 'click'), 0)) allowance from events group by user_id""")
+@query("""select user_id, count(*) filter (event_type = 'view') discovery, least(20 - count(*) filter (event_type = 'click'), greatest(70 - count(*) filter (event_type = 'view') - count(*) filter (event_type = 'click'), 0)) allowance, allowance >= 2 may_start from events group by user_id""")
 def recheck_allowance(spark, sf):
     n = t(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("discovery"), F.count_if(F.col("event_type") == "click").alias("recheck"))
-    return n.select("user_id", "discovery", stories.allowance(F.col("discovery"), F.col("recheck"), 70, 20).alias("allowance"))
+    return n.select("user_id", "discovery", stories.allowance(F.col("discovery"), F.col("recheck"), 70, 20).alias("allowance"), stories.may_start(F.col("discovery"), F.col("recheck"), 70, 20).alias("may_start"))
 
 
 @query("""select a.doc_id, b.text is not null reused from documents a left join (select distinct text from documents where doc_id % 2 = 0) b on a.text = b.text where a.doc_id % 2 = 1""")

@@ -34,9 +34,9 @@ def test_recheck_touches_only_what_is_new(spark):
 def test_assigned_makes_and_moves_stories(spark):
     schema = "article string, story string, vector array<double>, topics array<string>, published timestamp"
     known = spark.createDataFrame([("1", "a", [0.0, 2.0], ["x"], datetime(2024, 1, 5))], schema)
-    incoming = spark.createDataFrame([("2", "a", [2.0, 0.0], ["y", "x"], datetime(2024, 1, 2)), ("3", "b", [1.0, 1.0], None, datetime(2024, 1, 3))], schema)
-    state = spark.createDataFrame([("a", ["x"], [0.0, 2.0], datetime(2024, 1, 5), None, "dormant"), ("c", [], None, None, None, "dormant")], "story string, topics array<string>, centroid array<double>, last_report timestamp, processed timestamp, lifecycle string")
-    got = {r.story: r for r in stories.assigned(state, known, incoming, F.lit("2024-01-06").cast("timestamp")).collect()}
+    incoming = spark.createDataFrame([("2", "a", [2.0, 0.0], ["x"], datetime(2024, 1, 2)), ("3", "b", [1.0, 1.0], None, datetime(2024, 1, 3))], schema)
+    state = spark.createDataFrame([("a", ["y"], [0.0, 2.0], datetime(2024, 1, 5), None, "dormant"), ("c", [], None, None, None, "dormant")], "story string, topics array<string>, centroid array<double>, last_report timestamp, processed timestamp, lifecycle string")
+    got = {r.story: r for r in stories.assigned(state, known, incoming, F.lit("2024-01-06").cast("timestamp"), ("w", "x", "y")).collect()}
     assert got["a"].topics == ["x", "y"] and got["a"].centroid == [1.0, 1.0] and got["a"].last_report == datetime(2024, 1, 5) and got["a"].lifecycle == "active"
     assert got["b"].centroid == [1.0, 1.0] and got["b"].topics == [] and got["c"].lifecycle == "dormant" and got["c"].processed is None
 
