@@ -102,7 +102,7 @@ def coverage(events: DataFrame, time: str, start: Column, end: Column, step_hour
 def sessions(events: DataFrame, key: str, time: str, gap_hours: int) -> DataFrame:
     """key, started, ended, n: runs of events no further apart than the gap."""
     w = Window.partitionBy(key).orderBy(time)
-    apart = F.unix_seconds(F.col(time).cast("timestamp")) - F.unix_seconds(F.lag(time).over(w).cast("timestamp"))
-    marked = events.withColumn("_new", F.coalesce(apart > gap_hours * 3600, F.lit(True)).cast("int"))
+    apart = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))
+    marked = events.withColumn("_new", F.coalesce(apart > gap_hours * 3_600_000_000, F.lit(True)).cast("int"))
     run = marked.withColumn("_run", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return run.groupBy(key, "_run").agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count("*").alias("n")).drop("_run")

@@ -73,3 +73,9 @@ def test_prefix_cut_and_samples(spark):
     jobs = spark.createDataFrame([(1, 4.0), (2, 3.0), (3, 9.0), (4, 1.0)], "k long, cost double")
     assert rows(ledgers.prefix_cut(jobs, [F.asc("k")], "cost", 8).select("k", "runs")) == [(1, True), (2, True), (3, False), (4, False)]
     assert rows(ledgers.seeded_sample(jobs, "k", "s", 2)) == rows(ledgers.seeded_sample(jobs.orderBy(F.desc("k")), "k", "s", 2))
+
+
+def test_sessions_part_by_less_than_a_second(spark):
+    at = ["2024-01-12 03:32:11.100000", "2024-01-12 15:32:11.100000", "2024-01-13 03:32:11.100001"]
+    events = spark.createDataFrame([(1, x) for x in at], "user long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    assert sorted(r.n for r in ledgers.sessions(events, "user", "ts", 12).collect()) == [1, 2]
