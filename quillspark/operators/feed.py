@@ -43,5 +43,5 @@ def feed_order(has_changes: Column, updated: Column, ident: Column) -> list[Colu
 
 
 def lead_item(items: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """The value of the earliest item of a key that has one."""
+    """The value of the earliest item of a key that has one. min_by keeps any of equal items, so `order` should tell all apart."""
     return items.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators import assign, dedup, diffs, evaluation, ledgers, matching, sinks, status
+from quillspark.plans import serving
 
 
 def rows(df):
@@ -79,3 +80,10 @@ def test_sessions_part_by_less_than_a_second(spark):
     at = ["2024-01-12 03:32:11.100000", "2024-01-12 15:32:11.100000", "2024-01-13 03:32:11.100001"]
     events = spark.createDataFrame([(1, x) for x in at], "user long, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r.n for r in ledgers.sessions(events, "user", "ts", 12).collect()) == [1, 2]
+
+
+def test_lead_item_of_equal_lines_is_the_first_of_the_table(spark, tmp_path):
+    rows = [(k, 10 * k + p, "R" if p else "N", "1998-01-01", 3) for k in range(50) for p in (0, 2, 1, 3)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_returnflag string, l_shipdate string, l_linenumber int")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows(serving.lead_item(spark, str(tmp_path))) == sorted([(k, 10 * k + 2) for k in range(50)], key=repr)
