@@ -83,7 +83,38 @@ def test_sessions_part_by_less_than_a_second(spark):
 
 
 def test_lead_item_of_equal_lines_is_the_first_of_the_table(spark, tmp_path):
-    rows = [(k, 10 * k + p, "R" if p else "N", "1998-01-01", 3) for k in range(50) for p in (0, 2, 1, 3)]
-    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_returnflag string, l_shipdate string, l_linenumber int")
+    made = [(k, 10 * k + p, "R" if p else "N", "1998-01-01", 3) for k in range(50) for p in (0, 2, 1, 3)]
+    lines = spark.createDataFrame(made, "l_orderkey long, l_partkey long, l_returnflag string, l_shipdate string, l_linenumber int")
     lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert rows(serving.lead_item(spark, str(tmp_path))) == sorted([(k, 10 * k + 2) for k in range(50)], key=repr)
+
+
+def _plain_pairs(spark, n, seed):
+    import random
+
+    r = random.Random(seed)
+    same = [r.uniform(-1, 1) for _ in range(6)]
+    vectors = [None, [0.0] * 6] + [list(same) if i % 5 == 0 else [r.choice((-1.0, 0.5, 1.0)) if i % 2 else r.uniform(-1, 1) for _ in range(6)] for i in range(n - 2)]
+    return spark.createDataFrame([(i, i % 3, r.randrange(4), v) for i, v in enumerate(vectors)], "item long, topic int, grp int, vector array<float>")
+
+
+def test_neighbours_and_negatives_in_many_cells_equal_all_pairs(spark, monkeypatch):
+    from quillspark.functions.vector import cosine
+
+    monkeypatch.setattr(assign, "ASKED", 7)
+    monkeypatch.setattr(assign, "ITEMS", 11)
+    items = _plain_pairs(spark, 90, 1)
+    near = assign.knn(items.where("item % 4 = 0").select(F.col("item").alias("query"), "vector"), items.select("item", "vector"), 5)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan  # pairs are not made one by one
+    a, b = items.alias("a"), items.alias("b")
+    pairs = a.join(b, F.col("a.item") != F.col("b.item")).select(F.col("a.item").alias("x"), F.col("b.item").alias("y"), (F.col("a.topic") == F.col("b.topic")).alias("t"), (F.col("a.grp") != F.col("b.grp")).alias("g"), F.round(cosine(F.col("a.vector"), F.col("b.vector")), 6).alias("s")).collect()
+    want = []
+    for q in range(0, 90, 4):
+        own = sorted(((-p.s, p.y) for p in pairs if p.x == q))[:5]
+        want += [(q, y, -s + 0.0, k + 1) for k, (s, y) in enumerate(own)]
+    assert sorted((r["query"], r["item"], r["similarity"], r["rank"]) for r in near.collect()) == sorted(want)
+    for stated in (None, F.col("a.item") % 4 == 0):
+        chosen = {(min(p.x, p.y), max(p.x, p.y), p.s) for p in pairs if p.t and p.g and (stated is None or p.x % 4 == 0)}
+        want = sorted(chosen, key=lambda z: (-z[2], z[0], z[1]))[:30]
+        assert [tuple(r) for r in assign.hard_negatives(items.union(items) if stated is not None else items, 30, -1.0, stated).collect()] == want
