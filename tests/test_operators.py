@@ -118,3 +118,28 @@ def test_neighbours_and_negatives_in_many_cells_equal_all_pairs(spark, monkeypat
         chosen = {(min(p.x, p.y), max(p.x, p.y), p.s) for p in pairs if p.t and p.g and (stated is None or p.x % 4 == 0)}
         want = sorted(chosen, key=lambda z: (-z[2], z[0], z[1]))[:30]
         assert [tuple(r) for r in assign.hard_negatives(items.union(items) if stated is not None else items, 30, -1.0, stated).collect()] == want
+
+
+def test_matches_of_many_stories_need_no_group_each(spark):
+    import random
+
+    r = random.Random(5)
+    of = {}
+    for s in range(300):
+        chosen = r.sample([(p, n) for p in "0123" for n in "0123"], r.randrange(1, 9))
+        of[str(s)] = [(p, n, r.choice((0.3, 0.5, 0.6, 0.65, 0.9)), r.choice((5, 30))) for p, n in chosen]
+    pairs = spark.createDataFrame([(s, *x) for s, found in of.items() for x in found], "story_id string, p string, n string, score double, anchor long")
+    matched = matching.match_claims(pairs)
+    assert rows(matched) == sorted(((s, *x) for s, found in of.items() for x in matching.match_pairs(found)), key=repr)
+    sets = [spark.createDataFrame([(g, i, r.sample(range(4), r.randrange(1, 4))) for g in range(200) for i in range(r.randrange(4))], "group long, id long, items array<int>") for _ in "ab"]
+    aligned = matching.align_sets(*sets)
+    assert all("FlatMapGroupsInArrow" not in df._jdf.queryExecution().executedPlan().toString() for df in (matched, aligned))
+    a, b = ({(x.group, x.id): set(x["items"]) for x in df.collect()} for df in sets)
+    want = set()
+    for g in range(200):
+        used = []
+        for s, i, j in sorted((-len(a[g, i] & b[g, j]) / len(a[g, i] | b[g, j]), str(i), str(j)) for i in range(4) for j in range(4) if (g, i) in a and (g, j) in b):
+            if -s >= 0.5 and i not in [u[0] for u in used] and j not in [u[1] for u in used]:
+                used.append((i, j))
+                want.add((str(g), i, j))
+    assert {(x.group, x.a, x.b) for x in aligned.where("a is not null and b is not null").collect()} == want
