@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,12 +88,32 @@ def labels(items: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame
 
 #: Windows of private texts that may be broadcast, and characters of a text that are cut into windows at once.
 SMALL_WINDOWS, CUT = 1_000_000, 1_000
+#: Private windows that are looked up in a set.
+KNOWN_WINDOWS = 250_000
+
+
+def _leaking(known):  # noqa: ANN001, ANN202
+    """The ids of texts that hold a known window: one place of each half is looked up first, then the windows around a hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, halves, half, length = known.value
+
+        def leaks(text: str | None) -> bool:
+            hits = (j for j in range(0, len(text or "") - half + 1, half) if text[j : j + half] in halves)
+            return any(text[i : i + length] in whole for j in hits for i in range(max(0, j - half + 1), j + 1))
+
+        for batch in batches:
+            found = pa.array([leaks(x.as_py()) for x in batch.column("text")], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(found)], names=["id"])
+
+    return run
 
 
 def text_leaks(output: DataFrame, private: DataFrame, length: int = 20) -> DataFrame:
     """output ids with a window of `length` characters that a private text has. Both: id, text; windows meet by equi-join.
 
-    The windows of the private texts are broadcast where they are few; else both sides are shuffled.
+    The windows of the private texts are broadcast where they are few; else both sides are shuffled. The windows of the outputs are only
+    made where they are not looked up in a set: every window holds a whole half of its length at a multiple of that half.
     """
 
     def windows(df: DataFrame) -> DataFrame:
@@ -100,5 +123,11 @@ def text_leaks(output: DataFrame, private: DataFrame, length: int = 20) -> DataF
         return parts.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("part") - length + 1), lambda i: F.substring("part", i, F.lit(length)))).alias("w"))
 
     secret = windows(private).select("w").distinct()
-    small = secret.count() <= SMALL_WINDOWS
-    return windows(output).join(F.broadcast(secret) if small else secret, "w", "left_semi").select("id").distinct()
+    count = secret.count()
+    if count <= KNOWN_WINDOWS:
+        whole = {r.w for r in secret.collect()}  # at most KNOWN_WINDOWS
+        half = max(1, length // 2)
+        known = output.sparkSession.sparkContext.broadcast((whole, {w[i : i + half] for w in whole for i in range(length - half + 1)}, half, length))
+        kind = output.schema["id"].dataType.simpleString()
+        return output.select("id", "text").mapInArrow(_leaking(known), f"id {kind}").distinct()
+    return windows(output).join(F.broadcast(secret) if count <= SMALL_WINDOWS else secret, "w", "left_semi").select("id").distinct()

@@ -45,3 +45,19 @@ def test_costs_and_rendering(spark):
     ids = lambda *x: F.array(*map(F.lit, x))
     r = spark.range(1).select(costs.usage_usd(F.lit(1000), F.lit(400), F.lit(100), {"input": 1.0, "cached": 0.1, "output": 10.0}), costs.estimated_tokens(F.lit("😀ab")), render.quote_of(s, ids(2, 3)), render.quote_of(s, ids(1, 3)), render.numbered(F.slice(s, 1, 2)), render.claim_anchor(F.lit("#claim-a-1")), F.length(costs.counter_key("k", F.lit("2024-01-01"), F.lit("c"))), render.story_path(F.lit("a b"), F.lit(2))).first()
     assert tuple(r) == (0.00164, 2, "Two. Three.", None, "s1: One.\ns2: Two.", "a-1", 64, "/stories/a+b/revisions/2")
+
+
+def test_leaks_are_the_same_by_set_and_by_join(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("ab€😀") for _ in range(n))
+    private = [word(45) for _ in range(6)] + [word(19)]
+    out = [(i, word(i % 37) + (p := r.choice(private))[(k := r.randrange(len(p))) : k + 16 + i % 8] + word(i % 23)) for i in range(400)] + [(400, None), (401, ""), (402, private[0])]
+    want = {i for i, x in out if any(x and p[k : k + 20] in x for p in private for k in range(len(p) - 19))}
+    frames = spark.createDataFrame(out, "id long, text string"), spark.createDataFrame(list(enumerate(private)), "id long, text string")
+    found = revisions.text_leaks(*frames)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row per window
+    assert {x.id for x in found.collect()} == want and 0 < len(want) < len(out)
+    monkeypatch.setattr(revisions, "KNOWN_WINDOWS", 0)
+    assert {x.id for x in revisions.text_leaks(*frames).collect()} == want
