@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 from array import array
+from functools import lru_cache
 from itertools import groupby
 from operator import itemgetter
 
@@ -135,14 +136,15 @@ def sentence_texts(text: Column) -> Column:
     return F.transform(split_sentences(text), lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]))
 
 
-def _bare(raw: str) -> tuple[str, bool]:
-    """A word without what surrounds it, and whether a phrase ends behind it."""
+@lru_cache(1 << 16)
+def _bare(raw: str) -> tuple[str, bool, bool]:
+    """A word without what surrounds it, whether a phrase ends behind it, and whether it may be of a name. Words come again and again."""
     body = re.sub(r"^[\W_]+", "", raw)
     word = re.sub(r"(?:[^\w.]|_)+$", "", body)
     word = re.sub(r"(?:[^\w.]|_)+$", "", re.sub(r"['’]s$", "", word))
     if word.endswith(".") and "." not in word[:-1]:
         word = word[:-1]
-    return word, len(word) < len(body) and not body.endswith(".")
+    return word, len(word) < len(body) and not body.endswith("."), _is_name(word)
 
 
 def _is_name(word: str) -> bool:
@@ -153,9 +155,11 @@ def proper_noun_phrases(title: str, most: int = 3) -> list[str]:
     """Runs of at most three capitalised words, joined over a single "of"; each once, by lower case."""
     words = [_bare(w) for w in unicodedata.normalize("NFC", title).split()]
     phrases: list[list[str]] = [[]]
-    for i, (word, ends) in enumerate(words):
-        joins = word.lower() == "of" and not ends and phrases[-1] and len(phrases[-1]) + 2 <= most and i + 1 < len(words) and _is_name(words[i + 1][0])
-        if not joins and not _is_name(word):
+    for i, (word, ends, name) in enumerate(words):
+        if not name and not phrases[-1]:
+            continue
+        joins = word.lower() == "of" and not ends and phrases[-1] and len(phrases[-1]) + 2 <= most and i + 1 < len(words) and words[i + 1][2]
+        if not joins and not name:
             phrases.append([])
             continue
         if len(phrases[-1]) >= most:

@@ -98,3 +98,9 @@ def test_word_segments_share_a_longest_subsequence():
         assert sides["previous"] == sides["current"] and len(sides["current"]) == longest(a, b)
         assert " ".join(s["text"] for s in found["previous"]).split() == a and " ".join(s["text"] for s in found["current"]).split() == b
     assert text.word_segments("x y", "y x") == {"previous": [{"text": "x", "changed": True}, {"text": "y", "changed": False}], "current": [{"text": "y", "changed": False}, {"text": "x", "changed": True}]}
+
+
+def test_words_of_names_are_taken_apart_once():
+    text._bare.cache_clear()
+    assert text.proper_noun_phrases("Bank of England of Rome, and the Bank of of Ana's U.S. Team X") == ["Bank of England", "Rome", "Bank", "Ana", "U.S. Team"]
+    assert text._bare.cache_info().hits > 0
