@@ -11,7 +11,7 @@ from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,7 +67,16 @@ def strip_markup(text: Column) -> Column:
 
 
 def normalize_body(text: Column) -> Column:
-    return strip(F.regexp_replace(nfc(strip_markup(text)), "\n{3,}", "\n\n"))
+    return _finished(strip_markup(text))
+
+
+def _finished(text: Column) -> Column:
+    return strip(F.regexp_replace(nfc(text), "\n{3,}", "\n\n"))
+
+
+def with_normalized(df: DataFrame, into: str, raw: Column) -> DataFrame:
+    """df with normalize_body(raw) in a column, each step a projection of its own, so that none is computed once for every use of it."""
+    return df.withColumn(into, strip_markup(raw)).withColumn(into, _finished(F.col(into)))
 
 
 def normalize_title(text: Column) -> Column:
@@ -101,8 +110,14 @@ def new_markers(before: Column, after: Column) -> Column:
 
 def recheck_judgement(before: Column, raw: Column) -> Column:
     """unchanged, correction_candidate or text_changed, by hash and markers of the normalised body."""
-    after = normalize_body(raw)
-    return F.when(F.sha2(after, 256) == F.sha2(before, 256), "unchanged").when(F.size(new_markers(before, after)) > 0, "correction_candidate").otherwise("text_changed")
+    return judged(before, normalize_body(raw))
+
+
+def judged(before: Column, after: Column) -> Column:
+    """recheck_judgement() of a body that is normalised already."""
+    marked = F.rlike(after, F.lit("|".join(p if p.startswith("(?i)") else f"(?-i){p}" for _, p in CORRECTION_MARKERS)))
+    corrected = F.when(marked, F.size(new_markers(before, after)) > 0)  # markers are counted only where there is one
+    return F.when(F.sha2(after, 256) == F.sha2(before, 256), "unchanged").when(corrected, "correction_candidate").otherwise("text_changed")
 
 
 _END = re.compile(r"[.?!][\"'”’)\]}]*(?=\s|$)")

@@ -85,9 +85,9 @@ def title_token_jaccard(spark, sf):
 select doc_id, case when doc_id % 3 = 0 then 'correction_candidate' when doc_id % 3 = 1 then 'unchanged' else 'text_changed' end judgement from d""")
 def recheck_judgement(spark, sf):
     body = F.regexp_replace(F.col("text"), "[<&]", "")
-    d = t(spark, sf, "documents").select("doc_id", text.normalize_body(body).alias("text"))
+    d = text.with_normalized(t(spark, sf, "documents").select("doc_id", body.alias("text")), "text", F.col("text"))
     now = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Correction: a name.").when(F.col("doc_id") % 3 == 1, "").otherwise(" More."))
-    return d.select("doc_id", text.recheck_judgement(F.col("text"), now).alias("judgement"))
+    return text.with_normalized(d, "now", now).select("doc_id", text.judged(F.col("text"), F.col("now")).alias("judgement"))
 
 
 @query(r"""with w as (select distinct substr(text, i, 20) w from (select text, unnest(range(1, length(text) - 18)) i from benchmark where length(text) >= 20)),

@@ -100,6 +100,15 @@ def test_word_segments_share_a_longest_subsequence():
     assert text.word_segments("x y", "y x") == {"previous": [{"text": "x", "changed": True}, {"text": "y", "changed": False}], "current": [{"text": "y", "changed": False}, {"text": "x", "changed": True}]}
 
 
+def test_recheck_normalises_once(spark):
+    texts = [("a b", "a b", "unchanged"), ("a b", " a b\r\n", "unchanged"), ("a", "a Correction: b", "correction_candidate"), ("CORRECTED- a", "CORRECTED- a b", "text_changed"), ("a", "corrected- a", "text_changed"), ("a", "CORRECTED- a", "correction_candidate"), ("a", "THIS article has been corrected é", "correction_candidate"), ("a", None, "text_changed"), (None, "a", "text_changed")]
+    given = spark.createDataFrame(texts, "before string, raw string, want string")
+    df = text.with_normalized(given, "after", F.col("raw")).select("want", text.judged(F.col("before"), F.col("after")).alias("got"), text.recheck_judgement(F.col("before"), F.col("raw")).alias("whole"))
+    assert all(r.got == r.whole == r.want for r in df.collect())
+    df = df.select("got")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("&quot;") == 1
+
+
 def test_words_of_names_are_taken_apart_once():
     text._bare.cache_clear()
     assert text.proper_noun_phrases("Bank of England of Rome, and the Bank of of Ana's U.S. Team X") == ["Bank of England", "Rome", "Bank", "Ana", "U.S. Team"]
