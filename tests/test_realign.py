@@ -60,3 +60,20 @@ def test_unlike_long_texts_end_in_time():
     start = time.monotonic()
     assert sum(n for *_, n in kept_runs("s" + a, "s" + b)) < 20
     assert time.monotonic() - start < 20
+
+
+def test_texts_of_a_batch_are_not_held_together():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillspark.operators import realign
+
+    n, size = 400, 20_000
+    texts = pa.array([f"{i:06d}" + "x" * size for i in range(n)])
+    after = pa.array([f"{i:06d}" + "y" + "x" * size for i in range(n)])
+    tracemalloc.start()
+    spans = realign._each(texts, after, pa.array([10] * n), pa.array([20] * n))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(spans) == n and spans.null_count == 0 and peak < n * size / 4
