@@ -8,7 +8,8 @@ import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,12 @@ CHUNK_BYTES = 8 << 20
 #: Keys that may be joined by broadcast.
 HOT = 1024
 
+#: Bits of a bitmap of hashes, 8 MB.
+BITS = 1 << 26
+
 _written: list[tuple[SparkSession, str]] = []
+#: Tables written so far within finished().
+_meanwhile: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("_meanwhile", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,9 +47,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    if (meanwhile := _meanwhile.get()) is not None:
+        meanwhile.append((spark, path))
     return spark.read.parquet(path)
 
 
+def finished(build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The table that build() returns, written; all that was written for it meanwhile is deleted."""
+    outer, tables = _meanwhile.get(), []
+    token = _meanwhile.set(tables)
+    try:
+        df = build()
+        _meanwhile.set(outer)
+        return materialize(df, label)
+    finally:
+        _meanwhile.reset(token)
+        for spark, path in tables:
+            _delete(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and that no later result reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -91,6 +113,16 @@ def join_by_size(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFra
     return rows.join(often, key).unionByName(rare.join(table.where(~hot), key))
 
 
+def sieve(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be in wanted: those that are, and few others. A bitmap of hashes is broadcast, of BITS at most."""
+    at = F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
+    bits = wanted.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    place = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, place % 8) == 1
+    return df.join(F.broadcast(bits), (F.bitmap_bucket_number(at) == F.col("_b")) & is_set, "left_semi")
+
+
 def crc_mod(col: str | Column, n: int) -> Column:
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"), F.lit("")).cast("binary")) % n

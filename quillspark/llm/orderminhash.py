@@ -12,14 +12,15 @@ Texts with the same words are one class from the start and only one of them is c
 the leader is the least text by a hashed order. Pairs are compared in turns, each only with texts of other components than its own:
 
 1. every text with the leader it shares most keys with,
-2. with all leaders of its keys, with one more text of each larger key, and with every text under keys of at most SMALL texts,
-3. under larger keys whose texts are still in several components, with DRAWS other texts of each key in each round, until a round finds no link.
+2. with all leaders of its keys, and with every text under keys of at most SMALL texts,
+3. under larger keys whose texts are still in several components, with every other text.
 
-So the pairs of a round grow in proportion to the texts however many share a key. Texts of one class share most of their keys
-with few others, so that a link is looked at under a small key or with a leader; what can be missed is a link between texts
-all of whose common keys belong to a passage that more than SMALL texts share, and few of which are alike. Pairs that can't be alike by their
-lengths or by a bitmap of their words are left out beforehand: each word of one text beyond those of the other is an
-edit, and so is each bit.
+So all pairs that share a key are compared unless other links have joined them before. Groups of one class collapse in the first two
+steps, whose pairs grow in proportion to the texts. What is left of a larger key is dealt to tasks in cells of CELL texts by as many: in a cell a pair is
+looked at only if the key is the least that both share, by products of matrices first (words in common bound the edits), then aligned by
+bits, one text with many at once. This last step grows with the square of a group of texts that share a passage and are not alike. Pairs
+that can't be alike by their lengths or by a bitmap of their words are left out beforehand: each word of one text beyond those of
+the other is an edit, and so is each bit.
 
 A text of fewer words than SHINGLE is one item; texts of few words are found only if an item survives the edits. Very long texts
 are sketched in blocks and aligned like others, by bits of one band. Null and empty texts have no words and form one class. A null id is a
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import join_by_size, materialize, raw_texts
+from quillspark.llm.common import finished, join_by_size, materialize, raw_texts, release, sieve
 from quillspark.llm.components import components, extended
 from quillspark.llm.decontaminate import words_of
 
@@ -49,10 +50,14 @@ SAMPLES, TAKE = 72, 2
 BAG = 16
 #: Texts of a key that are compared pair by pair.
 SMALL = 16
-#: Texts of each larger key that all others are compared with in a round.
-DRAWS = 3
-#: Pairs that one task aligns, about.
-ALIGN = 1000
+#: Texts of a larger key on each side of a cell, about.
+CELL = 1000
+#: Pairs that one task aligns, and that one task of cells looks at, about.
+ALIGN, LOOKED = 1000, 500_000
+#: Columns of a product of matrices.
+WIDE = 2048
+#: Pairs aligned one by one if there are less, or if a text has more words.
+FEW, LONG = 8, 1024
 #: Items that are hashed at once.
 BLOCK = 4096
 MEMO_WORDS = 300_000
@@ -213,6 +218,120 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return first.join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").mapInArrow(_align, "a long, b long")
 
 
+def in_common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of the sets share."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    row, column = row[counts[column] > 1], (np.cumsum(counts > 1) - 1)[column[counts[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int((counts > 1).sum()), WIDE):
+        a, b = np.searchsorted(column, (low, low + WIDE))
+        x = np.zeros((n, WIDE), np.float32)
+        x[row[a:b], column[a:b] - low] = 1
+        out += x @ x.T
+    return out
+
+
+def _told_apart(words: np.ndarray) -> np.ndarray:
+    """The words, each with the count of equal ones before it."""
+    ordered = np.sort(words).astype(np.uint64)
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    before = np.arange(len(ordered)) - np.repeat(starts, np.diff(np.append(starts, len(ordered))))
+    return ordered | before.astype(np.uint64) << np.uint64(32)
+
+
+def align_many(a: np.ndarray, others: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Which of the sequences are at most so many edits from a: the recurrence of _in_bits without a band, for all of them at once.
+
+    A column of a is in 64-bit parts. A pair goes once its edits can't come down to the limit in the columns left.
+    """
+    if len(others) < FEW or max(len(a), *map(len, others)) > LONG:
+        return np.array([aligns(a, b, int(m)) for b, m in zip(others, most, strict=True)], bool)
+    n, parts = len(a), -(-len(a) // 64)
+    lengths = np.array([len(b) for b in others])
+    values, place = np.unique(a, return_inverse=True)
+    equal = np.zeros((len(values) + 1, parts), np.uint64)  # the last row: words that a lacks
+    np.bitwise_or.at(equal, (place, np.arange(n) // 64), np.uint64(1) << (np.arange(n) % 64).astype(np.uint64))
+    at = np.full((lengths.max(), len(others)), len(values))
+    for k, b in enumerate(others):
+        found = np.minimum(np.searchsorted(values, b), len(values) - 1)
+        at[: len(b), k] = np.where(values[found] == b, found, len(values))
+    one, top, last = np.uint64(1), np.uint64(63), np.uint64((n - 1) % 64)
+    out, left, edits = np.zeros(len(others), bool), np.arange(len(others)), np.full(len(others), n)
+    plus, minus = np.full((parts, len(others)), ~np.uint64(0)), np.zeros((parts, len(others)), np.uint64)
+    for j in range(lengths.max()):
+        up, down = np.ones(len(left), np.uint64), np.zeros(len(left), np.uint64)
+        seen = equal[at[j, left]]
+        for i in range(parts):
+            p, x = plus[i], seen[:, i]
+            level = x | minus[i]
+            x = x | down
+            x = (((x & p) + p) ^ p) | x
+            right, fall = minus[i] | ~(x | p), p & x
+            if i == parts - 1:
+                edits = edits + (right >> last & one).astype(np.int64) - (fall >> last & one).astype(np.int64)
+            rise, sink = right << one | up, fall << one | down
+            up, down = right >> top, fall >> top
+            plus[i], minus[i] = sink | ~(level | rise), rise & level
+        ended = lengths[left] == j + 1
+        if ended.any():
+            out[left[ended]] = edits[ended] <= most[left[ended]]
+        if j % 16 == 15 or ended.any():
+            stay = ~ended & (edits - (lengths[left] - j - 1) <= most[left])
+            left, edits, plus, minus = left[stay], edits[stay], plus[:, stay], minus[:, stay]
+            if not len(left):
+                break
+    return out
+
+
+def _cell(cell: pa.Table) -> pa.Table:
+    """Links that join all texts of a cell that pairs of it join. cell: key, node, component, words, keys (the larger ones of the text), part, i, j."""
+    key, cross = cell.column("key")[0].as_py(), cell.column("i")[0] != cell.column("j")[0]
+    node, of, part = (cell.column(c).to_numpy() for c in ("node", "component", "part"))
+    words = [np.frombuffer(w, np.uint32) for w in cell.column("words").to_pylist()]
+    n = np.array([len(w) for w in words])
+    most = (np.maximum(n[:, None], n[None]) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    met = np.triu(of[:, None] != of[None], 1) & (abs(n[:, None] - n[None]) <= most)
+    if cross:
+        met &= part[:, None] != part[None]
+    lesser = [np.array([k for k in keys if k < key], np.int64) for keys in cell.column("keys").to_pylist()]
+    met &= in_common(lesser) == 0
+    some = np.flatnonzero(met.any(0) | met.any(1))
+    if len(some):
+        shared = in_common([_told_apart(words[t]) for t in some])
+        met[np.ix_(some, some)] &= np.maximum(n[some][:, None], n[some][None]) - shared <= most[np.ix_(some, some)]
+    of, links = of.copy(), []
+    for a in some:
+        others = np.flatnonzero(met[a] & (of != of[a]))
+        if len(others):
+            for b in others[align_many(words[a], [words[b] for b in others], most[a, others])]:
+                if of[b] != of[a]:
+                    links.append((int(node[a]), int(node[b])))
+                    of[of == of[b]] = of[a]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def met_in_cells(large: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the texts of each key, of different components. large: key, node, component; texts: node, words.
+
+    A key of many texts is cut into parts, and each two of these are a cell.
+    """
+    sizes = large.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    large = materialize(large.join(sizes.select("key", "n"), "key"), "omh-large")
+    rows, pairs = large.agg(F.count("*"), F.coalesce(F.sum(F.col("n") / 2), F.lit(0.0))).first()
+    own = large.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most SAMPLES
+    texts = sieve(texts, "node", own).groupBy("node").agg(F.first("words").alias("words")).join(own, "node")
+    parts = F.ceil(F.col("n") / CELL).cast("int")
+    part = F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int")
+    dealt = large.select("key", "node", "component", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.select("key", "node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    cells = dealt.join(texts, "node").repartition(int(1 + max(pairs // LOOKED, rows // CELL)), "key", "i", "j")
+    return cells.groupBy("key", "i", "j").applyInArrow(_cell, "a long, b long")
+
+
 def _fits(a: str, b: str) -> Column:
     """Whether texts of so many words can be alike: each word that one has more is an edit."""
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
@@ -241,61 +360,31 @@ def _linked(sketched: DataFrame) -> DataFrame:
     # one row per distinct word sequence
     nodes = materialize(sketched.where("n_words > 0").groupBy("node").agg(F.first("keys").alias("keys"), F.first("n_words").alias("n_words"), F.first("bag").alias("bag")), "omh-nodes")
     keyed = nodes.select("node", "n_words", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("least")).where("n > 1")
-    shared = materialize(keyed.join(sizes.select("key", "n", F.col("least.node").alias("leader")), "key"), "omh-shared")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n_words")).alias("least")).where("n > 1")
+    shared = materialize(keyed.join(sizes.select("key", "n", F.col("least.node").alias("leader"), F.col("least.n_words").alias("n_leader")), "key"), "omh-shared")
+    release(sketched.sparkSession)
     texts = sketched.where("n_words > 0").select("node", "words")
 
     def compared(pairs: DataFrame, label: str) -> DataFrame:
         """The links among the pairs. Copies of a text are many, but one has its words."""
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        words = materialize(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), f"omh-texts-{label}")
+        wanted = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "omh-wanted")
+        words = materialize(sieve(texts, "node", wanted).groupBy("node").agg(F.first("words").alias("words")), f"omh-texts-{label}")
         return materialize(verified(pairs, words), f"omh-links-{label}")
 
-    led = shared.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("keys"))
+    led = shared.where("node <> leader").where(_fits("n_words", "n_leader")).groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("keys"))
     led = materialize(_possible(led, nodes.withColumn("component", F.col("node"))), "omh-led")
     nearest = led.groupBy("a").agg(F.max(F.struct("keys", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     joined = materialize(components(compared(materialize(nearest, "omh-nearest"), "nearest")), "omh-components")
 
     placed = materialize(_placed(nodes.drop("keys"), joined), "omh-placed")
-    large = _drawn(_placed(shared.where(f"n > {SMALL}").select("key", "node", "n_words"), joined), 1, 0)
     small = _placed(shared.where(f"n between 3 and {SMALL} and node <> leader"), joined).select("key", "node", "n_words", "component")
     one, two = small.toDF("key", "a", "n_a", "of_a"), small.toDF("key", "b", "n_b", "of_b")
     every = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _fits("n_a", "n_b"))
-    pairs = _with_heads(large).unionByName(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).unionByName(every.select("a", "b"))
+    pairs = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(every.select("a", "b"))
     links = compared(materialize(_possible(pairs.distinct(), placed), "omh-pairs"), "more")
     joined = materialize(extended(joined, links), "omh-components")
-
-    # from here on only texts of larger keys in several components take part
-    some = large.select("node").distinct()
-    pool = materialize(nodes.select("node", "n_words", "bag").join(some, "node").join(texts.join(some, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "node"), "omh-pool")
-    one, two = (pool.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n_words", "bag"))) for k in "ab")
-    turn = 1
-    while True:
-        large = _drawn(_placed(large.drop("heads", "component"), joined), DRAWS, turn)
-        possible = _with_heads(large).distinct().join(one, "a").join(two, "b").where(_overlap("n_words_a", "n_words_b", "bag_a", "bag_b")).select("a", "b")
-        links = materialize(verified(materialize(possible, "omh-pairs"), pool), "omh-links-turn")
-        if links.isEmpty():
-            return joined
-        joined = materialize(extended(joined, links), "omh-components")
-        turn += 1
-
-
-def _drawn(large: DataFrame, draws: int, turn: int) -> DataFrame:
-    """The rows of keys whose texts are in several components, with so many texts of the key, each the first in an order of hashes of its own.
-
-    large: key, node, n_words, component. Components only grow together, so a key that is left out here stays done.
-    """
-    salt = ["key", F.lit(turn)] if turn else []  # at first keys of the same texts draw the same one, later others
-    orders = (F.min(F.struct(F.xxhash64("node", *salt, F.lit(i)).alias("h"), "node", "n_words", "component")) for i in range(draws))
-    heads = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.array(*orders).alias("heads"))
-    return materialize(large.join(heads.where("low <> high").select("key", "heads"), "key"), "omh-large")
-
-
-def _with_heads(large: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each row's text and the drawn ones of its key, of different components and fitting lengths; each pair in one order."""
-    met = large.select("node", "n_words", "component", F.explode("heads").alias("head"))
-    met = met.where((F.col("component") != F.col("head.component")) & _fits("n_words", "head.n_words"))
-    return met.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
+    links = materialize(met_in_cells(_placed(shared.where(f"n > {SMALL}").select("key", "node"), joined), texts), "omh-links-cells")
+    return materialize(extended(joined, links), "omh-components")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
@@ -305,6 +394,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     number = F.col(row).cast("long") if row else F.monotonically_increasing_id()
     docs = docs.select(F.col(doc_id).alias("doc_id"), number.alias("row"), F.col(text).alias("text"))
+    return finished(lambda: _classes(docs), "near-duplicates")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketched = materialize(docs.mapInArrow(_sketches, f"doc_id {kind}, row long, node long, n_words int, keys array<long>, bag array<long>, words binary"), "omh-sketches")
     joined = _linked(sketched)

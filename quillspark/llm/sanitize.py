@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import finished, materialize, sieve
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the contract, written so that each character is tried once: quantifiers keep what they
@@ -40,8 +40,6 @@ PATTERNS = {
 SIGNS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"[\p{L}\p{N}]+"
 LEAKAGE, LEAST_TERM = 0.9, 3
-#: Bits of a bitmap of hashes, 8 MB.
-BITS = 1 << 26
 #: Matches per block when their offsets are summed up.
 BLOCK = 256
 SPAN = "struct<kind:string,start:int,end:int>"
@@ -123,16 +121,6 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda t: F.char_length(t) >= LEAST_TERM)
 
 
-def _sieve(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key may be in wanted: those that are, and few others. A bitmap of hashes is broadcast, of BITS at most."""
-    at = F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
-    bits = wanted.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
-    place = F.bitmap_bit_position(at).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.getbit(byte, place % 8) == 1
-    return df.join(F.broadcast(bits), (F.bitmap_bucket_number(at) == F.col("_b")) & is_set, "left_semi")
-
-
 def _telling(df_e: Column, df_et: Column, df_t: Column, total: Column) -> Column:
     share = df_e / total
     return (share < 1) & (F.log((df_et + share) / (df_t + 1) / share) >= -LEAKAGE * F.log(share))
@@ -151,7 +139,7 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     among = terms.groupBy("t").agg(F.count("*").alias("df_found"))
     possible = counted.join(among, "t").crossJoin(total).where(_telling(F.col("df_e"), F.col("df_et"), F.col("df_found"), F.col("D")))
     possible = materialize(possible.select("t", "df_e", "df_et", "D"), "pii-possible")
-    held = _sieve(texts.select("row", F.explode(_terms(F.col("text"))).alias("t")), "t", possible)
+    held = sieve(texts.select("row", F.explode(_terms(F.col("text"))).alias("t")), "t", possible)
     held = materialize(held.dropDuplicates(["row", "t"]), "pii-held")
     judged = possible.join(held.groupBy("t").agg(F.count("*").alias("df_t")), "t")
     telling = judged.where(_telling(F.col("df_e"), F.col("df_et"), F.col("df_t"), F.col("D"))).select("t").distinct()
@@ -167,10 +155,10 @@ def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: s
     rows = docs.select(F.col(doc_id).alias("doc_id"), number.alias("key"), F.xxhash64(doc_id, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = rows.withColumn("base", base_spans(F.col("text")))
     spans = materialize(spans.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii-spans")
-    telling = materialize(disclosing(spans.where(F.size("base") > 0), rows.select("row", "text")), "pii-telling")
+    telling = finished(lambda: disclosing(spans.where(F.size("base") > 0), rows.select("row", "text")), "pii-telling")
     # texts without an entity are read again only where they have terms
-    bare = _sieve(spans.where(F.size("base") == 0).select("row"), "row", telling).join(telling.select("row"), "row", "left_semi").distinct()
-    again = _sieve(rows, "row", bare).join(bare, "row", "left_semi").withColumn("base", F.expr(f"cast(array() as {HITS})"))
+    bare = sieve(spans.where(F.size("base") == 0).select("row"), "row", telling).join(telling.select("row"), "row", "left_semi").distinct()
+    again = sieve(rows, "row", bare).join(bare, "row", "left_semi").withColumn("base", F.expr(f"cast(array() as {HITS})"))
     marked = spans.where(F.size("base") > 0).unionByName(again).join(telling.withColumnRenamed("row", "r"), F.col("r") == F.col("row"), "left")
     word = F.concat(F.lit(r"(?iU)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     inside = lambda m: F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import time
 import zlib
@@ -443,6 +444,60 @@ def test_near_duplicates_of_one_passage_are_compared_in_turns(spark):
     assert all(got[i] == i for i in range(60)) and all(got[100 + i] == i for i in range(0, 60, 3))
 
 
+def test_near_duplicates_find_a_pair_that_shares_but_a_common_passage(spark):
+    """A pair whose own words are edited so often that only keys of a passage of a thousand other texts are common."""
+    passage, n = prose(91, 60, 4000), 1000
+    docs = [(i, prose(20_000 + i, 40, 4000) + " " + passage, "en", "s") for i in range(n)]
+    edited = docs[0][1].split()
+    edited[4:40:5] = [f"edit{k}" for k in range(8)]
+    docs.append((n, " ".join(edited), "en", "s"))
+    got = {x.doc_id: x.class_id for x in orderminhash.near_duplicates(documents(spark, docs)).collect()}
+    assert got == {i: i % n for i in range(n + 1)}
+
+
+def test_texts_aligned_together_are_those_aligned_alone():
+    r = np.random.default_rng(11)
+    for n in (1, 63, 64, 65, 200):
+        a = r.integers(0, 30, n).astype(np.uint32)
+        others = [np.delete(np.where(r.random(n) < share, r.integers(0, 40, n), a), r.integers(0, n, n // 20)).astype(np.uint32) for share in r.random(40) / 3]
+        most = np.array([max(n, len(b)) // 5 for b in others])
+        assert orderminhash.align_many(a, others, most).tolist() == [orderminhash.aligns(a, b, int(m)) for b, m in zip(others, most, strict=True)]
+    sets = [np.unique(r.integers(0, 9000, r.integers(0, 3000))) for _ in range(20)]
+    common = orderminhash.in_common(sets)
+    assert all(common[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(20) if i != j)
+
+
+def test_keys_of_many_texts_are_cut_into_cells(spark, monkeypatch):
+    """Cells of few texts and one large cell join what all pairs that align join."""
+    r = np.random.default_rng(13)
+    base = [r.integers(0, 5000, 50) for _ in range(40)]
+    texts = [np.where(r.random(50) < 0.08, r.integers(0, 5000, 50), base[i % 40]).astype(np.uint32) for i in range(120)]
+    words = spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(texts)], "node long, words binary")
+    large = spark.createDataFrame([(k, i, i) for k in (1, 2) for i in range(120)], "key long, node long, component long")
+    joined = lambda links: _roots(120, links)
+    want = joined([(i, j) for i in range(120) for j in range(i) if orderminhash.alike(texts[i], texts[j])])
+    assert 1 < len(set(want)) < 100
+    for cell in (orderminhash.CELL, 25):
+        monkeypatch.setattr(orderminhash, "CELL", cell)
+        assert joined([(x.a, x.b) for x in orderminhash.met_in_cells(large, words).collect()]) == want
+
+
+def _roots(n, links):
+    of = list(range(n))
+    for a, b in links:
+        low, high = sorted((of[a], of[b]))
+        of = [low if x == high else x for x in of]
+    return of
+
+
+def test_near_duplicates_leave_but_their_result(spark, monkeypatch):
+    from quillspark.llm import common
+
+    monkeypatch.setattr(common, "_written", [])
+    orderminhash.near_duplicates(documents(spark, [(1, prose(1, 60), "en", "s"), (2, prose(1, 60) + " end", "en", "s")])).collect()
+    assert len(common._written) > 1 and sum(os.path.isdir(path.removeprefix("file://")) for _, path in common._written) == 1
+
+
 def test_near_duplicates_name_one_row_of_each_class(spark):
     text = prose(9, 90)
     docs = [(1, text, "en", "s"), (1, text, "en", "s"), (None, text, "en", "s"), (2, prose(8, 90), "en", "s"), (None, None, "en", "s"), (3, "", "en", "s"), (None, prose(7, 90), "en", "s")]
