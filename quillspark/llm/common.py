@@ -113,14 +113,21 @@ def join_by_size(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFra
     return rows.join(often, key).unionByName(rare.join(table.where(~hot), key))
 
 
-def sieve(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key may be in wanted: those that are, and few others. A bitmap of hashes is broadcast, of BITS at most."""
+def sieve(df: DataFrame, key: str, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose key may be in wanted: those that are, and few others; by left_anti those that surely aren't. A bitmap of hashes is broadcast, of BITS at most."""
     at = F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
     bits = wanted.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
     place = F.bitmap_bit_position(at).cast("int")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, place % 8) == 1
-    return df.join(F.broadcast(bits), (F.bitmap_bucket_number(at) == F.col("_b")) & is_set, "left_semi")
+    return df.join(F.broadcast(bits), (F.bitmap_bucket_number(at) == F.col("_b")) & is_set, how)
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not in gone. Only keys are shuffled, and the few rows that a bitmap of hashes can't tell from those in gone."""
+    gone = gone.select(key)
+    spared = materialize(sieve(rows.select(key), key, gone).join(gone, key, "left_anti"), "spared")
+    return sieve(rows, key, gone, "left_anti").unionByName(sieve(rows, key, spared).join(spared, key, "left_semi").select(*rows.columns))
 
 
 def crc_mod(col: str | Column, n: int) -> Column:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import discard, materialize
+from quillspark.llm.common import discard, materialize, sieve
 
 #: Most copies of a document, and so most words of a source as a multiple of what it has.
 MOST = 3
@@ -164,7 +164,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     return rated, plan
 
 
-def _rated(sized: DataFrame, sources: DataFrame) -> DataFrame:
+def _rated(sized: DataFrame, sources: DataFrame, *keep: str) -> DataFrame:
     s = sources.select(F.col("source").alias("of"), "tilt", "scale")
     rate = F.when(F.col("size") > 0, F.least(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(2.0))), F.lit(float(MOST)))).otherwise(0.0)
     number = F.pmod(F.xxhash64(F.lit("mixing"), "tie", "n"), F.lit(1 << 52)) / float(1 << 52)
@@ -174,7 +174,7 @@ def _rated(sized: DataFrame, sources: DataFrame) -> DataFrame:
         .withColumn("whole", F.floor(F.col("rate")))
         .withColumn("more", (F.col("size") > 0) & (F.col("whole") < MOST))
         .withColumn("key", number - (F.col("rate") - F.col("whole")))
-        .select("doc_id", "row", "source", "size", "rate", "whole", "more", "key")
+        .select("doc_id", "row", "source", "size", "n", "rate", "whole", "more", "key", *keep)
     )
 
 
@@ -184,10 +184,29 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     row: a column of numbers that tell the rows apart; without one, rows are numbered.
     """
     rated, plan = mixed(docs, doc_id, text, source, row)
+    return _copied(rated, plan)
+
+
+def _copied(rated: DataFrame, plan: DataFrame, *keep: str) -> DataFrame:
     p = plan.select(F.col("source").alias("of"), "source_size", "target", "cut")
     joined = rated.join(F.broadcast(p) if _small(plan) else p, rated.source.eqNullSafe(p.of))
     extra = (F.col("more") & (F.col("key") < F.col("cut"))).cast("long")
-    return joined.select("doc_id", "row", "source", "size", "rate", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+    return joined.select("doc_id", "row", "source", "size", "rate", "source_size", "target", (F.col("whole") + extra).alias("copies"), *keep)
+
+
+def planned(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """As copies(), with the whole row of docs as the struct doc.
+
+    What a row draws follows from the row itself, but for the later ones of a tie, which are joined to their numbers: texts of the others are not shuffled.
+    """
+    rated, plan = mixed(docs, doc_id, text, source, row)
+    later = materialize(rated.where("n > 1").select("row", "n"), "mix-later")
+    discard(rated)
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col(doc_id).alias("doc_id"), F.col(row).cast("long").alias("row"), F.col(source).alias("source"), token_size(text).alias("size"), F.xxhash64(doc_id, text).alias("tie"))
+    first = F.lit(1).cast("long")
+    told = sieve(own, "row", later).join(later, "row", "left").withColumn("n", F.coalesce("n", first))
+    every = sieve(own, "row", later, "left_anti").withColumn("n", first).unionByName(told)
+    return _copied(_rated(every, plan, "doc"), plan, "doc")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001

@@ -60,3 +60,35 @@ def test_rows_are_told_apart_and_names_may_clash(spark, tmp_path):
     assert kept == sorted(str((i, (t or "")[:12])) for i, t in [(None, same), (None, rows[2][1]), (3, rows[3][1]), (3, rows[4][1]), (4, rows[5][1]), (5, None)])
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, at)
     assert mixed.columns == [*docs.columns, "size_", "target_", "copies_"] and mixed.where("copies_ > 0").count() == mixed.count() > 0
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    """However large the tables of row numbers are, what a stage found is joined to its documents without a shuffle of their texts."""
+    import random
+
+    letters = [chr(0x4E00 + i) for i in range(20_000)]
+    rows = [(i, " ".join("".join(random.Random(1000 * i + j).choices(letters, k=6)) for j in range(600)), "en", f"s{i % 3}") for i in range(150)]
+    rows += [(1000 + i, rows[i][1], "en", "s0") for i in range(5)] + [(2000, rows[9][1] + " x@y.example", "en", "s1"), rows[7]]
+    at = tables(spark, tmp_path, rows)
+    texts = sum(len(r[1].encode()) for r in rows)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{at}/documents.parquet").cache()
+    docs.count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("near_dedup", "personal_data", "mixing"):
+            passed = stages[name](spark, docs, at)
+            done = set(shuffled())
+            materialize(passed, name)
+            wrote = sum(n for k, n in shuffled().items() if k not in done)
+            assert wrote < texts / 4, (name, wrote, texts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        docs.unpersist()
