@@ -8,8 +8,10 @@ prefix doubling up to ``least`` words: suffixes of equal rank begin with the sam
 article that a host shows under several addresses is not boilerplate. Blocks that such runs cover are left out; a block with any
 word of its own is unique and stays whole.
 
-Hosts of more than ``group_bytes`` of pages or ``group_pages`` pages are dealt to groups by hash of the page, and each group is judged by its own pages;
-a run on half of a host's pages is on about half of those of any group. Every page is judged.
+Hosts of more than ``group_bytes`` of pages or ``group_pages`` pages are dealt to groups by hash of the words of the page. A run on ``share``
+of a host's contents is on as large a share in one group at least, so groups propose runs, and those proposed are counted on all of the host's
+pages: the result does not depend on the groups. Runs are told apart by 64-bit hashes. Pages are parsed again where they are; only the words of
+different pages are shuffled.
 
 Null and empty pages have an empty text, and so have pages without blocks. Null and broken addresses are one host, with no name. Very
 long pages are parsed whole; one longer than a group makes that group longer. Repeated rows give repeated results. There are no
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,9 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize, raw_texts
+from quillspark.llm.orderminhash import _mix, _Numbers
 
 LEAST, SHARE, PAGES = 5, 0.5, 4
 GROUP_BYTES, GROUP_PAGES = 4 << 20, 512
+#: Copies of a page are known again among so many pages of a task.
+SEEN = 1_000_000
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
@@ -122,59 +128,134 @@ def blocks_of(html: str) -> list[str]:
     return marked or [text for text, _ in parser.blocks]
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [blocks_of(raw.decode("utf-8", "replace")) for raw in raw_texts(batch.column("html"))]
-        columns = [*(batch.column(c) for c in ("page_id", "url", "host", "page")), pa.array(found, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "page", "blocks"])
+def _words(html: bytes) -> tuple[list[str], bytes]:
+    """The blocks of a page, and all its words, separated by blanks."""
+    blocks = blocks_of(html.decode("utf-8", "replace"))
+    return blocks, " ".join(blocks).encode("utf-8", "replace")
 
 
-def repeated(streams: list[np.ndarray], least: int = LEAST, share: float = SHARE, pages: int = PAGES) -> list[np.ndarray]:
-    """For each stream of word numbers, which words are covered by a run that so many different streams have."""
+def _runs(numbers: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of the runs of so many words, one for each start."""
+    n = max(0, len(numbers) - least + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(least):
+        out = _mix(out + numbers[i : i + n])
+    return out.view(np.int64)
+
+
+def _content(words: bytes) -> int:
+    return int.from_bytes(blake2b(words, digest_size=8).digest(), "little", signed=True)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, content, words of the pages; most copies of a page that one task meets again are left out."""
+    seen = set()
+    for batch in batches:
+        hosts, contents, words = [], [], []
+        for host, raw in zip(batch.column("host").to_pylist(), raw_texts(batch.column("html")), strict=True):
+            page = _words(raw)[1]
+            key = (host, _content(page))
+            if key not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(key)
+                hosts.append(host)
+                contents.append(key[1])
+                words.append(page)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(words, pa.binary())], names=["host", "content", "words"])
+
+
+def starts_of(streams: list[np.ndarray], least: int, enough: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs start that at least so many of the different streams have (in the streams put together), and how many have each."""
     lengths = np.array([len(s) for s in streams], np.int64)
+    n = int(lengths.sum())
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     distinct: dict[bytes, int] = {}
     content = np.array([distinct.setdefault(s.tobytes(), len(distinct)) for s in streams], np.int64)
-    n = int(lengths.sum())
-    cover = np.zeros(n + 1, np.int64)
-    if n and len(distinct) >= pages:
-        page = np.repeat(np.arange(len(streams)), lengths)
-        # ranks of the suffixes by ever more of their first words; those that end before `least` words are alone
-        rank = np.unique(np.concatenate(streams), return_inverse=True)[1].astype(np.int64)
-        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
-        whole = np.flatnonzero(left >= least)
-        known = 1
-        while known < least:
-            step = min(known, least - known)
-            following = np.zeros(n, np.int64)
-            following[: n - step] = rank[step:] + 1
-            following[left <= step] = 0
-            rank = np.unique(rank * (n + 2) + following, return_inverse=True)[1].astype(np.int64)
-            known += step
-        pairs = np.unique(rank[whole] * len(distinct) + content[page[whole]])
-        on = np.bincount(pairs // len(distinct), minlength=n + 1)
-        starts = whole[on[rank[whole]] >= max(pages, share * len(distinct))]
-        cover[starts] += 1
-        np.subtract.at(cover, starts + least, 1)
+    page = np.repeat(np.arange(len(streams)), lengths)
+    # ranks of the suffixes by ever more of their first words; those that end before `least` words are alone
+    rank = np.unique(np.concatenate(streams), return_inverse=True)[1].astype(np.int64)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
+    whole = np.flatnonzero(left >= least)
+    known = 1
+    while known < least:
+        step = min(known, least - known)
+        following = np.zeros(n, np.int64)
+        following[: n - step] = rank[step:] + 1
+        following[left <= step] = 0
+        rank = np.unique(rank * (n + 2) + following, return_inverse=True)[1].astype(np.int64)
+        known += step
+    pairs = np.unique(rank[whole] * len(distinct) + content[page[whole]])
+    on = np.bincount(pairs // len(distinct), minlength=n + 1)[rank[whole]]
+    return whole[on >= enough], on[on >= enough]
+
+
+def repeated(streams: list[np.ndarray], least: int = LEAST, share: float = SHARE, pages: int = PAGES) -> list[np.ndarray]:
+    """For each stream of word numbers, which words are covered by a run that so many different streams have."""
+    starts, _ = starts_of(streams, least, max(pages, share * len({s.tobytes() for s in streams})))
+    lengths = [len(s) for s in streams]
+    cover = np.zeros(sum(lengths) + 1, np.int64)
+    cover[starts] += 1
+    np.subtract.at(cover, starts + least, 1)
     return np.split(np.cumsum(cover[:-1]) > 0, np.cumsum(lengths)[:-1])
 
 
-def _judge(least: int, share: float, pages: int):  # noqa: ANN202
-    def run(table: pa.Table) -> pa.Table:
-        blocks = table.column("blocks").to_pylist()
-        number: dict[str, int] = {}
-        streams = [np.array([number.setdefault(w, len(number)) for b in page for w in b.split()], np.int64) for page in blocks]
-        texts = []
-        for page, covered in zip(blocks, repeated(streams, least, share, pages), strict=True):
-            kept, at = [], 0
-            for block in page:
-                size = len(block.split())
-                if not covered[at : at + size].all():
-                    kept.append(block)
-                at += size
-            texts.append("\n\n".join(kept))
-        return table.select(["page_id", "url"]).append_column("text", pa.array(texts, pa.string()))
+def _candidates(least: int, share: float):  # noqa: ANN202
+    """host, run, n of the runs on the share of a group's contents at least; run is null in the row of the number of contents."""
+
+    def find(table: pa.Table) -> pa.Table:
+        words = dict(zip(table.column("content").to_pylist(), table.column("words").to_pylist(), strict=True))
+        number = _Numbers()
+        streams = [number.of(w.decode().split()) for w in words.values()]
+        starts, on = starts_of(streams, least, share * len(streams))
+        every = np.concatenate(streams)
+        hashes = np.zeros(len(every), np.int64)
+        hashes[: max(0, len(every) - least + 1)] = _runs(every, least)
+        runs, at = np.unique(hashes[starts], return_index=True)
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * (len(runs) + 1), pa.string()), "run": pa.array([None, *runs.tolist()], pa.int64()), "n": pa.array([len(streams), *on[at].tolist()], pa.int64())})
+
+    return find
+
+
+def _found(least: int):  # noqa: ANN202
+    """host, content, at: where in its host's list of runs those of a page are."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _Numbers()
+        for batch in batches:
+            contents, at = [], []
+            for raw, runs in zip(raw_texts(batch.column("html")), batch.column("runs"), strict=True):
+                page = _words(raw)[1]
+                contents.append(_content(page))
+                at.append(np.flatnonzero(np.isin(runs.values.to_numpy(), _runs(number.of(page.decode().split()), least))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(contents, pa.int64()), pa.array(at, pa.list_(pa.int32()))], names=["host", "content", "at"])
 
-    return run
+    return find
+
+
+def _texts(least: int):  # noqa: ANN202
+    """The texts of pages without the blocks that their host's runs cover."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _Numbers()
+        for batch in batches:
+            out = []
+            for raw, runs in zip(raw_texts(batch.column("html")), batch.column("runs"), strict=True):
+                blocks, page = _words(raw)
+                if runs.is_valid:
+                    numbers = number.of(page.decode().split())
+                    cover = np.zeros(len(numbers) + 1, np.int64)
+                    starts = np.flatnonzero(np.isin(_runs(numbers, least), runs.values.to_numpy()))
+                    cover[starts] += 1
+                    np.subtract.at(cover, starts + least, 1)
+                    covered = np.cumsum(cover[:-1]) > 0
+                    ends = np.cumsum([len(b.split()) for b in blocks])
+                    blocks = [b for b, end in zip(blocks, ends, strict=True) if not covered[end - len(b.split()) : end].all()]
+                out.append("\n\n".join(blocks))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    return texts
 
 
 def host_of(url: Column) -> Column:
@@ -183,17 +264,27 @@ def host_of(url: Column) -> Column:
 
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id", least: int = LEAST, share: float = SHARE, min_pages: int = PAGES, group_bytes: int = GROUP_BYTES, group_pages: int = GROUP_PAGES) -> DataFrame:
     """page_id, url, text (blocks joined by an empty line), n_chars: one row per row of pages."""
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.monotonically_increasing_id().alias("page"), F.col(html).cast("string").alias("html"))
-    kinds = {k: rows.schema[k].dataType.simpleString() for k in ("page_id", "url")}
-    head = f"page_id {kinds['page_id']}, url {kinds['url']}"
-    # sizes by the pages as they are, so that blocks need no table of their own: pages are parsed once, before the shuffle
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
     hosts = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("host_bytes"), F.count("*").alias("n"))
-    parsed = rows.mapInArrow(_parse, f"{head}, host string, page long, blocks array<string>")
     groups = F.ceil(F.greatest((F.col("host_bytes") + 1) / F.lit(group_bytes), F.col("n") / F.lit(group_pages))).cast("long")
     # few hosts need more than one group: Spark broadcasts their table while it is small, and joins by shuffle beyond
     several = materialize(hosts.select("host", groups.alias("groups")).where("groups > 1"), "main-hosts")
-    dealt = parsed.join(several, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("page"), F.col("groups")), F.lit(0).cast("long")))
-    judged = dealt.select("page_id", "url", "host", "part", "blocks").groupBy("host", "part").applyInArrow(_judge(least, share, min_pages), f"{head}, text string")
+    dealt = rows.select("host", "html").mapInArrow(_contents, "host string, content long, words binary").join(several, "host", "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod("content", "groups"), F.lit(0).cast("long"))).drop("groups")
+    found = materialize(dealt.groupBy("host", "part").applyInArrow(_candidates(least, share), "host string, run long, n long"), "main-candidates")
+
+    enough = found.where("run is null").groupBy("host").agg(F.greatest(F.lit(float(min_pages)), F.lit(float(share)) * F.sum("n")).alias("enough"))
+    one = found.where("run is not null").join(several, "host", "left_anti").select("host", "run", "n")
+    # a run of a host of several groups is counted on all its pages
+    listed = found.where("run is not null").join(several, "host", "left_semi").groupBy("host").agg(F.array_sort(F.collect_set("run")).alias("runs"))  # a few times as many as a page has words
+    listed = materialize(listed, "main-listed")
+    met = rows.select("host", "html").join(listed, "host").mapInArrow(_found(least), "host string, content long, at array<int>")
+    met = met.groupBy("host", "content").agg(F.first("at").alias("at")).select("host", F.explode("at").alias("at")).groupBy("host", "at").agg(F.count("*").alias("n"))
+    many = met.join(listed.select("host", F.posexplode("runs").alias("at", "run")), ["host", "at"]).select("host", "run", "n")
+    runs = one.unionByName(many).join(enough, "host").where("n >= enough").groupBy("host").agg(F.collect_list("run").alias("runs"))
+    runs = materialize(runs, "main-runs")
+    kinds = {k: rows.schema[k].dataType.simpleString() for k in ("page_id", "url")}
+    judged = rows.join(runs, "host", "left").mapInArrow(_texts(least), f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
     return judged.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

@@ -66,6 +66,19 @@ def test_hosts(spark, tmp_path):
     assert maintext.op13(spark, str(tmp_path)).collect() == []
 
 
+def test_groups_do_not_change_the_result(spark):
+    """A run on exactly half of a host's pages, and one on less, are judged alike in one group and in many; copies are one page."""
+    words = lambda seed, n: " ".join(f"w{random.Random(seed * 1000 + i).randrange(10**6)}" for i in range(n))
+    half, less = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(i, "http://a.example/", (f"<p>{half}</p>" if i % 2 else "") + (f"<p>{less}</p>" if i % 2 and i > 1 else "") + f"<p>{words(i, 30)}</p>") for i in range(40)]
+    rows += [(100 + i, "http://a.example/", rows[3][2]) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = {i: ([less] if less in page else []) + [words(3 if i >= 100 else i, 30)] for i, _, page in rows}
+    for pages in (512, 9, 4):
+        got = {r.page_id: r.text.split("\n\n") for r in maintext.main_text(df, group_pages=pages).collect()}
+        assert got == want, pages
+
+
 def test_articles_of_the_table(spark):
     """Every page of the table: exactly its article's blocks, by a plain cut at the article's tags."""
     import html as entities
