@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, mixing, orderminhash, sanitize, toxicity
-from quillspark.llm.common import discard, finished, numbered, sieve, unused, without
+from quillspark.llm.common import discard, finished, numbered, unused, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -44,17 +44,18 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data generalised to its kind and disclosing terms removed."""
-    row, new = unused("row_number", docs), unused("new_text", docs)
+    row, rest = unused("row_number", docs), unused("rest", docs)
     rows = numbered(docs, row)
 
     def rewritten() -> DataFrame:
-        found = sanitize.spans_of(rows, key=row).where(F.size(F.concat("base", "terms")) > 0)
-        return found.select(F.col("key").alias(row), sanitize.sanitized(F.col("text"), F.col("base"), F.col("terms")).alias(new))
+        carried = rows.select("doc_id", "text", F.struct(*(c for c in rows.columns if c != "text")).alias(rest))
+        found = sanitize.spans_of(carried, key=rest).where(F.size(F.concat("base", "terms")) > 0)
+        text = sanitize.sanitized(F.col("text"), F.col("base"), F.col("terms"))
+        return found.select(*(text.alias(c) if c == "text" else F.col("key")[c].alias(c) for c in rows.columns))
 
     changed = finished(rewritten, "pipeline-changed")
-    others = sieve(rows.drop("text"), row, changed).join(changed, row)  # old texts are not shuffled
-    others = others.withColumns({"text": F.col(new), "n_chars": F.char_length(new).cast("long")}).select(*docs.columns)
-    return without(rows, row, changed).select(*docs.columns).unionByName(others)
+    same = without(rows, row, changed).select(*docs.columns)
+    return same.unionByName(changed.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

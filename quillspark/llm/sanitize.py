@@ -149,17 +149,17 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
 def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str | None = None) -> DataFrame:
     """doc_id, key, row, base and terms: arrays of struct<kind,start,end,hit>, one row per row of docs; text only where there are spans.
 
-    key: a column of numbers that is passed through, to tell repeated rows apart.
+    key: a column that is passed through, such as a number to tell repeated rows apart.
     """
-    number = F.col(key).cast("long") if key else F.lit(None).cast("long")
+    number = F.col(key) if key else F.lit(None).cast("long")
     rows = docs.select(F.col(doc_id).alias("doc_id"), number.alias("key"), F.xxhash64(doc_id, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = rows.withColumn("base", base_spans(F.col("text")))
     spans = materialize(spans.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii-spans")
     telling = finished(lambda: disclosing(spans.where(F.size("base") > 0), rows.select("row", "text")), "pii-telling")
     # texts without an entity are read again only where they have terms
-    bare = sieve(spans.where(F.size("base") == 0).select("row"), "row", telling).join(telling.select("row"), "row", "left_semi").distinct()
-    again = sieve(rows, "row", bare).join(bare, "row", "left_semi").withColumn("base", F.expr(f"cast(array() as {HITS})"))
-    marked = spans.where(F.size("base") > 0).unionByName(again).join(telling.withColumnRenamed("row", "r"), F.col("r") == F.col("row"), "left")
+    bare = sieve(spans.where(F.size("base") == 0).select("row"), "row", telling).distinct().join(telling, "row")
+    again = sieve(rows, "row", bare).join(bare, "row").withColumn("base", F.expr(f"cast(array() as {HITS})"))
+    marked = spans.where(F.size("base") > 0).join(telling, "row", "left").unionByName(again)  # a text is shuffled once
     word = F.concat(F.lit(r"(?iU)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     inside = lambda m: F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
     hits = F.transform(F.filter(_matches(F.col("text"), word), lambda m: ~inside(m)), lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit")))
