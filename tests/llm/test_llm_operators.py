@@ -94,6 +94,38 @@ def test_brown_moves_raise_the_likelihood():
     assert found["c"] == int(np.argmax(gains)) and abs(found["gain"] - max(gains)) < 1e-6
 
 
+def test_brown_gains_of_words_equal_brute_force():
+    r = np.random.default_rng(1)
+    line = r.integers(0, 12, 300)
+    line[-1] = line[0]
+    own = r.integers(0, 4, 12)
+
+    def table_of(classes):
+        table = np.zeros((4, 4))
+        np.add.at(table, (classes[line[:-1]], classes[line[1:]]), 1)
+        return table
+
+    a, b = line[:-1], line[1:]
+    rows = Counter((int(y), brown.SELF if x == y else int(own[x])) for x, y in zip(a, b, strict=True))
+    rows += Counter((int(x), brown.CLASSES + int(own[y])) for x, y in zip(a, b, strict=True) if x != y)
+    word, code, n = (np.array(x) for x in zip(*((w, c, k) for (w, c), k in sorted(rows.items())), strict=True))
+    found = brown.gains(table_of(own), own, word, code, n)
+    for w in range(12):
+        moved = [brown.likelihood(table_of(np.where(np.arange(12) == w, to, own))) for to in range(4)]
+        assert np.allclose(found[w] - found[w][own[w]], np.array(moved) - moved[own[w]])
+
+
+def test_brown_classes_of_rare_words_come_from_their_neighbours(spark):
+    ids = (i for i in range(100_000) if zlib.crc32(str(i).encode()) % 10)
+    train = [(next(ids), text) for k in range(1480) for text in (f"l{k % 40} a{k}qqq v{k % 37}", f"m{k % 40} b{k}qqq w{k % 37}")]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0][:40]
+    texts = [(i, f"l{k} a{k}qqq v{k}") for k, i in zip(range(20), held, strict=False)] + [(i, f"l{k} b{k}qqq v{k}") for k, i in zip(range(20), held[20:], strict=True)]
+    got = {r.doc_id: r for r in brown.scored(spark.createDataFrame(train + texts, "doc_id long, text string").repartition(5)).collect()}
+    assert all(got[i].held_out and got[i].n_known == 4 and math.isclose(got[i].base_score, got[held[0]].base_score, rel_tol=0.01) for i in held)
+    right, wrong = (sum(got[i].score for i in some) / 20 for some in (held[:20], held[20:]))
+    assert right > wrong + 0.1, (right, wrong)
+
+
 def test_decontaminate_matches_brute_force(spark, sf, sample):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     expected = sorted(plain.brute_force([(i, t) for i, t, *_ in sample], bench), key=repr)
