@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from quillspark.session import settled
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """What tells two sets of edges apart: their number and two sums of hashes."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.hash("a", "b").cast("long"))).first())
-
-
 def _hung(edges: DataFrame) -> DataFrame:
     """Each greater neighbour of a node hung to the least one around that node."""
     around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,18 +22,23 @@ def _pulled(edges: DataFrame) -> DataFrame:
     return others.unionByName(least.withColumnRenamed("m", "b")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other, which itself hangs on none: the next steps would change nothing."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs")).unionByName(edges.select(F.col("b").alias("node")).distinct().withColumn("hangs", F.lit(0)))
+    of = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.min("hangs").alias("least"))
+    return of.where("hangs > 1 or hangs = 1 and least = 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of edges(a, b); an edge from a node to itself keeps the node.
 
-    Both steps in turn until nothing changes, which takes about log squared of the longest chain; no list of neighbours
+    Both steps in turn until all are stars, which takes about log squared of the longest chain; no list of neighbours
     is ever built, only their least. Rows with a null end are left out.
     """
     given = settled(edges.select("a", "b").where("a is not null and b is not null").distinct())
     stars = settled(given.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before, now = None, _mark(stars)
-    while before != now:
+    while not _are_stars(stars):
         stars = settled(_pulled(_hung(stars)))
-        before, now = now, _mark(stars)
     nodes = given.select(F.col("a").alias("node")).unionByName(given.select(F.col("b").alias("node"))).distinct()
     roots = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

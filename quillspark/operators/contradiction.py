@@ -13,39 +13,45 @@ from quillspark.session import settled
 KEYS = ["story_id", "claim_key"]
 
 
-def mismatches(evidence: DataFrame, pairs: DataFrame) -> DataFrame:
+def _linked(evidence: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Quotes with a number and their origins, and pairs with the numbers of their quotes (null: a quote of no evidence)."""
+    nodes = evidence.groupBy(*KEYS, "quote_id").agg(F.collect_set("origin").alias("origins"))  # a quote's own
+    nodes = settled(nodes.withColumn("node", F.monotonically_increasing_id()))
+    linked = pairs.select(*KEYS, "a", "b", "label")
+    for end in "ab":
+        linked = linked.join(nodes.select(*KEYS, F.col("quote_id").alias(end), F.col("node").alias(f"_{end}")), [*KEYS, end], "left")
+    return nodes, settled(linked)
+
+
+def _mismatches(linked: DataFrame) -> DataFrame:
     """story_id, claim_key, reason: claims whose pairs name a quote that isn't theirs, pair a quote with itself, label a pair in
     two ways, or call it incompatible in both directions."""
-    own = evidence.select(*KEYS, "quote_id").distinct()
-    strangers = pairs.where("a <> b").select(*KEYS, F.explode(F.array("a", "b")).alias("quote_id")).join(own, [*KEYS, "quote_id"], "left_anti").select(*KEYS, F.lit("a quote of no evidence").alias("reason"))
-    itself = pairs.where("a is null or b is null or a = b").select(*KEYS, F.lit("a quote paired with itself").alias("reason"))
-    by_pair = pairs.groupBy(*KEYS, F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.countDistinct("label").alias("labels"), F.countDistinct(F.when(F.col("label") == "incompatible", F.col("a"))).alias("ways"))
-    twice = by_pair.where("labels <> 1").select(*KEYS, F.lit("not one label for a pair").alias("reason"))
-    both = by_pair.where("ways > 1").select(*KEYS, F.lit("incompatible both ways").alias("reason"))
-    return reduce(DataFrame.unionByName, [strangers, itself, twice, both]).distinct()
+    strangers = linked.where("a <> b and (_a is null or _b is null)").select(*KEYS, F.lit("a quote of no evidence").alias("reason"))
+    itself = linked.where("a is null or b is null or a = b").select(*KEYS, F.lit("a quote paired with itself").alias("reason"))
+    accuser = F.when(F.col("label") == "incompatible", F.col("a"))
+    odd = (F.count("label") == 0) | (F.min("label") != F.max("label"))  # one pass, where distinct counts take a row for each
+    by_pair = linked.groupBy(*KEYS, F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(odd.alias("odd"), (F.min(accuser) != F.max(accuser)).alias("both"))
+    twice = F.when(F.col("odd"), "not one label for a pair"), F.when(F.col("both"), "incompatible both ways")
+    found = by_pair.where("odd or both").select(*KEYS, F.explode(F.array_compact(F.array(*twice))).alias("reason"))
+    return reduce(DataFrame.unionByName, [strangers, itself, found]).distinct()
 
 
-def quote_sides(evidence: DataFrame, pairs: DataFrame) -> DataFrame:
-    """story_id, claim_key, quote_id, supports, opposes.
+def _sides(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """nodes with supports, opposes.
 
     An incompatible pair sets its first quote on the claim's side and its second against it; agreement carries both on. In a
     claim without such a pair all quotes that agree with one are on its side, and so is a quote that stands alone.
     """
-    node = lambda q: F.to_json(F.struct(*KEYS, F.col(q).alias("quote_id")))
-    agree = pairs.where("label = 'agree'")
-    edges = agree.select(node("a").alias("a"), node("b").alias("b")).unionByName(evidence.select(node("quote_id").alias("a"), node("quote_id").alias("b")))
-    placed = settled(evidence.select(*KEYS, "quote_id", node("quote_id").alias("node")).distinct().join(components(edges), "node").drop("node"))
-    against = pairs.where("label = 'incompatible'")
-    torn = against.select(*KEYS).distinct().withColumn("_torn", F.lit(True))
-    size = evidence.groupBy(*KEYS).agg(F.countDistinct("quote_id").alias("_size"))
-    paired = agree.select(*KEYS, F.explode(F.array("a", "b")).alias("quote_id")).distinct().withColumn("_paired", F.lit(True))
-    marked = placed.join(size, KEYS).join(torn, KEYS, "left").join(paired, [*KEYS, "quote_id"], "left")
-    for column, name in (("a", "_for"), ("b", "_against")):
-        seeds = against.select(*KEYS, F.col(column).alias("quote_id")).distinct().join(placed, [*KEYS, "quote_id"]).select("component").distinct()
-        marked = marked.join(seeds.withColumn(name, F.lit(True)), "component", "left")
+    linked = linked.where("label in ('agree', 'incompatible')").select(F.col("_a").alias("a"), F.col("_b").alias("b"), (F.col("label") == "agree").alias("agree"))
+    ends = F.inline(F.array(F.struct(F.col("a").alias("node"), ~F.col("agree")), F.struct(F.col("b").alias("node"), F.lit(False))))
+    marks = linked.select("agree", ends.alias("node", "_for")).groupBy("node").agg(F.bool_or("agree").alias("_paired"), F.bool_or("_for").alias("_for"), F.bool_or(~F.col("agree") & ~F.col("_for")).alias("_against"))
+    grown = settled(marks.join(components(linked.where("agree").select("a", "b")), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    sides = grown.where("_for or _against").groupBy("component").agg(F.bool_or("_for").alias("_for"), F.bool_or("_against").alias("_against"))
+    marked = settled(nodes.join(grown.select("node", "_paired", "component").join(sides, "component", "left").drop("component"), "node", "left"))
     no = F.lit(False)
-    calm = F.col("_torn").isNull() & F.coalesce("_paired", no)
-    return marked.select(*KEYS, "quote_id", (F.coalesce("_for", no) | calm | (F.col("_size") == 1)).alias("supports"), F.coalesce("_against", no).alias("opposes"))
+    claims = marked.groupBy(*KEYS).agg(F.count("*").alias("_size"), F.coalesce(F.bool_or("_for"), no).alias("_torn"))
+    calm = ~F.col("_torn") & F.coalesce("_paired", no)
+    return marked.join(claims, KEYS).select(*KEYS, "origins", (F.coalesce("_for", no) | calm | (F.col("_size") == 1)).alias("supports"), F.coalesce("_against", no).alias("opposes"))
 
 
 def judged(evidence: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,15 +59,17 @@ def judged(evidence: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]
 
     evidence: story_id, claim_key, quote_id, origin; pairs: story_id, claim_key, a, b, label (agree, incompatible, unrelated,
     undeterminable). Origins on both sides are one origin that corrected itself: they count as supporting only. No origin: null.
+    Names are shuffled to number the quotes; after that numbers are, and a quote's origins stay with it.
     """
-    wrong = settled(mismatches(evidence, pairs))
-    right = evidence.join(wrong.select(*KEYS).distinct(), KEYS, "left_anti")
-    fair = pairs.join(wrong.select(*KEYS).distinct(), KEYS, "left_anti")
-    sides = settled(quote_sides(right, fair))
+    nodes, linked = _linked(evidence, pairs)
+    wrong = settled(_mismatches(linked))
+    judged_wrongly = wrong.select(*KEYS).distinct()
+    fair = linked.join(judged_wrongly, KEYS, "left_anti")
+    sides = settled(_sides(nodes.join(judged_wrongly, KEYS, "left_anti"), fair))
     torn = sides.where("supports and opposes").select(*KEYS, F.lit("a quote on both sides").alias("reason")).distinct()
-    by_origin = right.join(sides, [*KEYS, "quote_id"]).where("origin is not null").groupBy(*KEYS, "origin").agg(F.bool_or("supports").alias("s"), F.bool_or("opposes").alias("o"))
-    counts = by_origin.groupBy(*KEYS).agg(F.count_if(F.col("s")).alias("supporting"), F.count_if(F.col("o") & ~F.col("s")).alias("conflicting"))
-    unsure = fair.groupBy(*KEYS).agg(F.bool_or(F.col("label") == "undeterminable").alias("undeterminable"))
-    zero = F.lit(0).cast("long")
-    every = right.select(*KEYS).distinct().join(torn.select(*KEYS), KEYS, "left_anti").join(counts, KEYS, "left").join(unsure, KEYS, "left")
-    return every.select(*KEYS, F.coalesce("supporting", zero).alias("supporting"), F.coalesce("conflicting", zero).alias("conflicting"), F.coalesce("undeterminable", F.lit(False)).alias("undeterminable")), wrong.unionByName(torn)
+    by_origin = sides.select(*KEYS, F.explode_outer("origins").alias("origin"), "supports", "opposes").groupBy(*KEYS, "origin").agg(F.bool_or("supports").alias("s"), F.bool_or("opposes").alias("o"))
+    known = F.col("origin").isNotNull()
+    counts = by_origin.groupBy(*KEYS).agg(F.count_if(known & F.col("s")).alias("supporting"), F.count_if(known & F.col("o") & ~F.col("s")).alias("conflicting"))
+    unsure = fair.where("label = 'undeterminable'").select(*KEYS).distinct().withColumn("undeterminable", F.lit(True))
+    every = counts.join(torn.select(*KEYS), KEYS, "left_anti").join(unsure, KEYS, "left")
+    return every.select(*KEYS, "supporting", "conflicting", F.coalesce("undeterminable", F.lit(False)).alias("undeterminable")), wrong.unionByName(torn)

@@ -89,6 +89,7 @@ def quote_origins(spark, sf):
     incompatible with the others. An order may have several origins."""
     lines = t(spark, sf, "lineitem").where("l_returnflag <> 'N'")
     quotes = lines.groupBy("l_suppkey", "l_orderkey").agg(F.min("l_linestatus").alias("line"), F.collect_set(F.col("l_partkey") % 5).alias("origins"))
+    quotes = settled(quotes)
     head = quotes.groupBy("l_suppkey").agg(F.min_by(F.struct(F.col("l_orderkey").alias("q"), "line"), "l_orderkey").alias("h"))
     keys = [F.lit("s").alias("story_id"), F.col("l_suppkey").cast("string").alias("claim_key")]
     name = lambda c: F.col(c).cast("string")

@@ -157,3 +157,25 @@ def test_two_slots_a_broken_one_and_reruns(spark, slot, tmp_path):
     # a commit computed before another one came
     with pytest.raises(Conflict):
         tables.commit("late", 1, {}, {"stories": stories(spark)}, before)
+
+
+def test_judged_quotes_are_joined_by_number(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(contradiction, "components", lambda edges: seen.append(edges.dtypes) or components(edges))
+    e = spark.createDataFrame([("s", "c", q, o) for q in ("q1", "q2", "q3") for o in ("x" + q, "y", None)], EVIDENCE)
+    p = spark.createDataFrame([("s", "c", "q1", "q2", "agree"), ("s", "c", "q3", "q1", "incompatible")], PAIRS)
+    good, bad = contradiction.judged(e, p)
+    # y stands on both sides; xq1 and xq2 are against
+    assert [tuple(r) for r in good.collect()] == [("s", "c", 2, 2, False)] and bad.count() == 0
+    assert seen == [[("a", "bigint"), ("b", "bigint")]]
+
+
+def test_stars_take_one_round(spark, monkeypatch):
+    from quillspark.operators import components as module
+
+    rounds = []
+    monkeypatch.setattr(module, "_pulled", lambda edges, f=module._pulled: rounds.append(1) or f(edges))
+    for edges, most in (([(1, k) for k in range(2, 9)], 0), ([(5, k) for k in range(1, 9)], 1)):
+        rounds.clear()
+        assert {r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {1}
+        assert len(rounds) == most
