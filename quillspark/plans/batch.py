@@ -52,16 +52,19 @@ def slot_batch(spark, sf):
     stories = stories.selectExpr("*", "cast(null as int) revision_number", "cast(null as string) content", "cast(null as timestamp) checked_at", "cast(null as timestamp) deferred_at")
     lines = t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("line"))
     lines = lines.withColumns({"q": F.concat(F.lit("q"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "said": F.concat(F.lit("Line "), "l_linenumber", F.lit(" holds part "), "l_partkey", F.lit("."))})
-    bodies = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("said")), " ").alias("body"))  # an order's own lines
+    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("q", "said", "flag", "line", "l_linenumber"))).alias("lines"))  # an order's own lines
+    orders = settled(orders.select("o_custkey", "o_orderkey", "o_orderpriority").join(lines, orders.o_orderkey == lines.l_orderkey, "left"))
+    body = F.array_join(F.array_sort(F.transform("lines", lambda i: i["said"])), " ").alias("body")
     version = F.concat(F.lit("v"), F.col("o_orderkey"))
-    articles = settled(orders.join(bodies, orders.o_orderkey == bodies.l_orderkey, "left").select(story.alias("story_id"), F.col("o_orderkey").alias("article_id"), version.alias("article_version_id"), F.col("o_orderpriority").alias("source_id"), "body"))
+    articles = settled(orders.select(story.alias("story_id"), F.col("o_orderkey").alias("article_id"), version.alias("article_version_id"), F.col("o_orderpriority").alias("source_id"), body))
     sources = orders.select(F.col("o_orderpriority").alias("source_id")).distinct().withColumns({"rights_tier": F.when(F.col("source_id") == "5-LOW", "link_only").otherwise("body_only"), "wire_id": F.lit(None).cast("string")})
 
     open_ = orders.where("o_orderpriority <> '5-LOW'")
-    quotes = open_.join(lines, open_.o_orderkey == lines.l_orderkey, "left")
-    said = quotes.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.when(F.col("q").isNotNull(), F.struct(F.col("q").alias("quote_id"), F.col("said").alias("quote"))))).alias("items"))
+    items = F.transform("lines", lambda i: F.struct(i["q"].alias("quote_id"), i["said"].alias("quote")))
+    said = open_.select("o_orderkey", F.array_sort(F.coalesce(items, F.array().cast("array<struct<quote_id:string,quote:string>>"))).alias("items"))
+    quotes = open_.select("o_custkey", F.inline("lines"))
     label = F.when(F.col("flag") == "A", "supported").when(F.col("flag") == "R", "conflicting").otherwise("partial")
-    claim = quotes.where("q is not null").select(story.alias("story_id"), "o_custkey", F.concat(F.lit("c"), F.col("l_linenumber") % 3).alias("claim_key"), "q", "line", label.alias("label"))
+    claim = quotes.select(story.alias("story_id"), "o_custkey", F.concat(F.lit("c"), F.col("l_linenumber") % 3).alias("claim_key"), "q", "line", label.alias("label"))
     by_claim = claim.groupBy("story_id", "o_custkey", "claim_key").agg(F.array_sort(F.collect_list(F.struct("q", "line", "label"))).alias("x"))  # a claim's own quotes
     by_claim = settled(by_claim.withColumn("kept", F.filter("x", lambda i: i["label"] != "partial")))
     text = F.concat(F.lit("what "), "claim_key", F.lit(" says"))
