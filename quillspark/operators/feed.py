@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,5 +45,9 @@ def feed_order(has_changes: Column, updated: Column, ident: Column) -> list[Colu
 
 
 def lead_item(items: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """The value of the earliest item of a key that has one. min_by keeps any of equal items, so `order` should tell all apart."""
-    return items.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))
+    """The value of each key's earliest item that has one; items with a null in `order` don't count, and null where none does.
+
+    min_by keeps any of equal items, so `order` should tell all apart.
+    """
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (value, *order)])
+    return items.groupBy(key).agg(F.min_by(value, F.when(known, F.struct(*order))).alias(value))

@@ -120,9 +120,10 @@ def topic_overlap_feed(spark, sf):
 
 @query("select l_orderkey, arg_min(l_partkey, epoch(l_shipdate) * 10 + l_linenumber) filter (l_returnflag = 'R') part from lineitem where l_returnflag = 'R' group by 1")
 def lead_item(spark, sf):
-    # lines of one day and number: the first of the table
-    lines = t(spark, sf, "lineitem").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).withColumn("part", F.when(F.col("l_returnflag") == "R", F.col("l_partkey")))
-    return feed.lead_item(lines, "l_orderkey", ["l_shipdate", "l_linenumber", "file", "row"], "part")
+    # ten units a second and the number, as the SQL counts; of equal lines the first of the table
+    at = F.col("l_shipdate").cast("timestamp_ntz") + F.col("l_linenumber") * F.expr("interval '0.1' second")
+    lines = t(spark, sf, "lineitem").select("*", at.alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return feed.lead_item(lines.where("l_returnflag = 'R'").withColumnRenamed("l_partkey", "part"), "l_orderkey", ["at", "file", "row"], "part")
 
 
 @query("""select l_orderkey, l_linenumber, case when s_nationkey % 2 = 0 then l_returnflag end excerpt from lineitem join supplier on l_suppkey = s_suppkey""")

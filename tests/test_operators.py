@@ -89,6 +89,22 @@ def test_lead_item_of_equal_lines_is_the_first_of_the_table(spark, tmp_path):
     assert rows(serving.lead_item(spark, str(tmp_path))) == sorted([(k, 10 * k + 2) for k in range(50)], key=repr)
 
 
+def test_lead_item_of_lines_with_nulls_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    day, made = "1998-01-01 00:00:0", []
+    made += [(1, None, "R", day + "0", 1), (1, 5, "R", day + "1", 1)]  # no part
+    made += [(2, 7, "R", None, 1), (2, 8, "R", day + "1", 1), (3, 7, "R", day + "0", None), (3, 8, "R", day + "1", 1)]  # no day, no number
+    made += [(4, None, "R", day + "0", 1), (5, 9, "R", None, 1), (6, 9, "N", day + "0", 1)]  # none that counts, none returned
+    made += [(7, 1, "R", day + "0", 12), (7, 2, "R", day + "1", 1), (7, 3, "N", day + "0", 1)]  # a later second of a lesser number
+    lines = spark.createDataFrame(made, "l_orderkey long, l_partkey long, l_returnflag string, l_shipdate string, l_linenumber int")
+    lines.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = duck.sql(serving.ORACLES["lead_item"]).fetchall()
+    assert rows(serving.lead_item(spark, str(tmp_path))) == sorted(want, key=repr) == [(1, 5), (2, 8), (3, 8), (4, None), (5, None), (7, 2)]
+
+
 def _plain_pairs(spark, n, seed):
     import random
 
