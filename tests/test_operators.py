@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators import assign, dedup, diffs, evaluation, ledgers, matching, sinks, status
-from quillspark.plans import serving
+from quillspark.plans import serving, vectors
 
 
 def rows(df):
@@ -136,6 +136,26 @@ def test_neighbours_and_negatives_in_many_cells_equal_all_pairs(spark, monkeypat
         assert [tuple(r) for r in assign.hard_negatives(items.union(items) if stated is not None else items, 30, -1.0, stated).collect()] == want
 
 
+def test_neighbours_in_a_large_cell_equal_all_pairs(spark):
+    from quillspark.functions.vector import cosine
+
+    items = _plain_pairs(spark, 1500, 2).union(_plain_pairs(spark, 1500, 2).where("item % 7 = 0"))  # repeated rows as well
+    near = assign.knn(items.where("item % 25 < 2").select(F.col("item").alias("query"), "vector"), items.select("item", "vector"), 5)
+    a, b = items.where("item % 25 < 2").alias("a"), items.alias("b")
+    pairs = a.crossJoin(b).where("a.item <> b.item").select(F.col("a.item").alias("x"), F.col("b.item").alias("y"), F.round(cosine(F.col("a.vector"), F.col("b.vector")), 6).alias("s")).collect()
+    of = {}
+    for p in pairs:
+        of.setdefault(p.x, []).append((-p.s, p.y))
+    want = [(x, y, -s + 0.0, k + 1) for x, own in of.items() for k, (s, y) in enumerate(sorted(own)[:5])]
+    assert sorted((r["query"], r["item"], r["similarity"], r["rank"]) for r in near.collect()) == sorted(want)
+
+
+def test_every_vector_has_its_neighbours(spark):
+    sf = "/root/testdata/sf0.001"
+    found = vectors.knn_top5(spark, sf).groupBy("query").count()
+    assert rows(found) == sorted([(r.vec_id, 5) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()], key=repr)
+
+
 def test_matches_of_many_stories_need_no_group_each(spark):
     import random
 
