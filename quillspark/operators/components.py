@@ -39,6 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     stars = settled(given.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _are_stars(stars):
         stars = settled(_pulled(_hung(stars)))
-    nodes = given.select(F.col("a").alias("node")).unionByName(given.select(F.col("b").alias("node"))).distinct()
-    roots = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    every = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for alone in (stars.select("b").distinct(), given.where("a = b").select("b").distinct()):  # centres, and edges from a node to itself
+        every = every.unionByName(alone.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    return every.groupBy("node").agg(F.min("component").alias("component"))

@@ -24,11 +24,6 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
-def _answer(rows, stage, key, field, items):  # noqa: ANN001, ANN202
-    """Recorded answers of a stage: one per key, of its items."""
-    return rows.select(F.lit(stage).alias("stage"), key.alias("key"), F.to_json(F.struct(items.alias(field))).alias("output"), F.lit(10).cast("long").alias("tokens"), F.lit(1.0).alias("spend"), F.lit(None).cast("string").alias("failure"))
-
-
 @query("""with l as (select distinct 's' || o_custkey story, o_custkey ck, o_orderkey ok, o_orderpriority src, 'q' || l_orderkey || '-' || l_linenumber || '-' || l_partkey q, 'c' || (l_linenumber % 3) c,
 max(l_returnflag) f, max(l_linestatus) ls from orders join lineitem on o_orderkey = l_orderkey where o_orderpriority <> '5-LOW' group by all),
 e as (select *, case f when 'A' then 'supported' when 'R' then 'conflicting' else 'partial' end lab from l),
@@ -50,33 +45,41 @@ def slot_batch(spark, sf):
     orders = t(spark, sf, "orders")
     stories = orders.select(story.alias("story_id"), (F.col("o_custkey") % 5).cast("int").alias("topic_rank")).distinct()
     stories = stories.selectExpr("*", "cast(null as int) revision_number", "cast(null as string) content", "cast(null as timestamp) checked_at", "cast(null as timestamp) deferred_at")
-    lines = t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("line"))
-    lines = lines.withColumns({"q": F.concat(F.lit("q"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "said": F.concat(F.lit("Line "), "l_linenumber", F.lit(" holds part "), "l_partkey", F.lit("."))})
-    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("q", "said", "flag", "line", "l_linenumber"))).alias("lines"))  # an order's own lines
-    orders = settled(orders.select("o_custkey", "o_orderkey", "o_orderpriority").join(lines, orders.o_orderkey == lines.l_orderkey, "left"))
-    body = F.array_join(F.array_sort(F.transform("lines", lambda i: i["said"])), " ").alias("body")
+    lines = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").repartition("l_orderkey")  # one shuffle for all that follows
+    lines = lines.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("line"))
+    lines = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "flag", "line")).alias("lines"))  # an order's own lines
+    orders = settled(orders.select("o_custkey", "o_orderkey", "o_orderpriority").join(lines, orders.o_orderkey == lines.l_orderkey, "left").drop("l_orderkey"), "zstd")
+    quote = lambda order, i: F.concat(F.lit("q"), F.concat_ws("-", order, i["l_linenumber"], i["l_partkey"]))
+    said = lambda i: F.concat(F.lit("Line "), i["l_linenumber"], F.lit(" holds part "), i["l_partkey"], F.lit("."))
+    body = F.array_join(F.array_sort(F.transform("lines", said)), " ").alias("body")
     version = F.concat(F.lit("v"), F.col("o_orderkey"))
-    articles = settled(orders.select(story.alias("story_id"), F.col("o_orderkey").alias("article_id"), version.alias("article_version_id"), F.col("o_orderpriority").alias("source_id"), body))
+    articles = orders.select(story.alias("story_id"), F.col("o_orderkey").alias("article_id"), version.alias("article_version_id"), F.col("o_orderpriority").alias("source_id"), body)
     sources = orders.select(F.col("o_orderpriority").alias("source_id")).distinct().withColumns({"rights_tier": F.when(F.col("source_id") == "5-LOW", "link_only").otherwise("body_only"), "wire_id": F.lit(None).cast("string")})
 
     open_ = orders.where("o_orderpriority <> '5-LOW'")
-    items = F.transform("lines", lambda i: F.struct(i["q"].alias("quote_id"), i["said"].alias("quote")))
-    said = open_.select("o_orderkey", F.array_sort(F.coalesce(items, F.array().cast("array<struct<quote_id:string,quote:string>>"))).alias("items"))
-    quotes = open_.select("o_custkey", F.inline("lines"))
-    label = F.when(F.col("flag") == "A", "supported").when(F.col("flag") == "R", "conflicting").otherwise("partial")
-    claim = quotes.select(story.alias("story_id"), "o_custkey", F.concat(F.lit("c"), F.col("l_linenumber") % 3).alias("claim_key"), "q", "line", label.alias("label"))
-    by_claim = claim.groupBy("story_id", "o_custkey", "claim_key").agg(F.array_sort(F.collect_list(F.struct("q", "line", "label"))).alias("x"))  # a claim's own quotes
-    by_claim = settled(by_claim.withColumn("kept", F.filter("x", lambda i: i["label"] != "partial")))
+    items = F.transform("lines", lambda i: F.struct(quote(F.col("o_orderkey"), i).alias("quote_id"), said(i).alias("quote")))
+    extracts = open_.select("o_orderkey", F.array_sort(F.coalesce(items, F.array().cast("array<struct<quote_id:string,quote:string>>"))).alias("items"))
+    quotes = open_.select("o_custkey", "o_orderkey", "lines").repartition("o_custkey").select("o_custkey", "o_orderkey", F.explode("lines").alias("i"))
+    label = F.when(F.col("i.flag") == "A", "supported").when(F.col("i.flag") == "R", "conflicting").otherwise("partial")
+    claim = quotes.select("o_custkey", F.concat(F.lit("c"), F.col("i.l_linenumber") % 3).alias("claim_key"), quote(F.col("o_orderkey"), F.col("i")).alias("q"), F.col("i.line").alias("line"), label.alias("label"))
+    claim = claim.groupBy("o_custkey", "claim_key").agg(F.array_sort(F.collect_list(F.struct("q", "line", "label"))).alias("x"))  # a claim's own quotes
+    claim = claim.withColumn("kept", F.filter("x", lambda i: i["label"] != "partial"))
     text = F.concat(F.lit("what "), "claim_key", F.lit(" says"))
-    listed = by_claim.where("o_custkey % 7 <> 3").groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("claim_key", text.alias("text"), F.lit("fact").alias("claim_type"), F.lit("asserted").alias("modality"), F.transform("x", lambda i: i["q"]).alias("quote_ids")))).alias("items"))
+    listed = F.struct("claim_key", text.alias("text"), F.lit("fact").alias("claim_type"), F.lit("asserted").alias("modality"), F.transform("x", lambda i: i["q"]).alias("quote_ids"))
     odd = F.col("o_custkey") % 11 == 5
     judged = F.transform("x", lambda i: F.struct(i["q"].alias("quote_id"), F.when(odd, "odd").otherwise(i["label"]).alias("label")))
     first = F.col("kept")[0]
     pairs = F.transform(F.slice("kept", 2, F.size("kept")), lambda i: F.struct(first["q"].alias("a"), i["q"].alias("b"), F.when(i["line"] == first["line"], "agree").otherwise("incompatible").alias("label")))
-    responses = _answer(said, "evidence_extract", version, "quotes", F.col("items"))
-    responses = responses.unionByName(_answer(listed, "claim_generate", F.col("story_id"), "claims", F.col("items")))
-    responses = responses.unionByName(_answer(by_claim, "gate_support", F.concat("story_id", F.lit(":gate:"), "claim_key"), "judgments", judged))
-    responses = settled(responses.unionByName(_answer(by_claim.where("size(kept) > 1"), "contradiction", F.concat("story_id", F.lit(":"), "claim_key"), "pairs", pairs)))
+    answer = lambda stage, key, output: F.struct(F.lit(stage).alias("stage"), key.alias("key"), output.alias("output"))
+    gate = answer("gate_support", F.concat(story, F.lit(":gate:"), "claim_key"), F.to_json(F.struct(judged.alias("judgments"))))
+    compared = answer("contradiction", F.concat(story, F.lit(":"), "claim_key"), F.to_json(F.struct(pairs.alias("pairs"))))
+    by_claim = claim.select("o_custkey", listed.alias("listed"), gate.alias("gate"), F.when(F.size("kept") > 1, compared).alias("compared"))
+    by_story = by_claim.groupBy("o_custkey").agg(F.array_sort(F.collect_list("listed")).alias("listed"), F.collect_list("gate").alias("gates"), F.collect_list("compared").alias("compared"))  # a story's own answers
+    generated = F.when(F.col("o_custkey") % 7 != 3, answer("claim_generate", story, F.to_json(F.struct(F.col("listed").alias("claims")))))
+    answers = by_story.select(F.inline(F.concat(F.array_compact(F.array(generated)), "gates", "compared")))
+    extracts = extracts.select(answer("evidence_extract", version, F.to_json(F.struct(F.col("items").alias("quotes")))).alias("a")).select("a.*")
+    paid = {"tokens": F.lit(10).cast("long"), "spend": F.lit(1.0), "failure": F.lit(None).cast("string")}
+    responses = settled(extracts.unionByName(answers).withColumns(paid), "zstd")
     done = batch.run(articles, sources, stories, spark.createDataFrame([], batch.CLAIMS), responses, float(int(0.7 * responses.count())), 2**62)
     counts = done.claims.groupBy("story_id").agg(F.count("*").alias("claims"), F.count_if(F.col("status") == "conflict").alias("conflict"), F.count_if(F.col("status") == "multi_agree").alias("agree"), F.sum("supporting").alias("supporting"))
     return batch.outcomes(done).join(counts, "story_id", "left").select(F.col("story_id").alias("story"), "outcome", "stage", "claims", "conflict", "agree", "supporting")

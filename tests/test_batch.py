@@ -179,3 +179,22 @@ def test_stars_take_one_round(spark, monkeypatch):
         rounds.clear()
         assert {r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {1}
         assert len(rounds) == most
+
+
+def test_claims_judged_as_lists_equal_claims_judged_by_rows(spark, monkeypatch):
+    r = random.Random(11)
+    rows_, pairs, lists = [], [], []
+    for c in range(150):
+        own = {f"q{n}": r.choice(("x", "y", "z", None)) for n in r.sample(range(30), r.randrange(1, 7))}
+        names = [*own, *(["q99"] if r.random() < 0.1 else [])]
+        of = [(r.choice(names), r.choice(names), r.choice(("agree", "agree", "incompatible", "unrelated", "undeterminable"))) for _ in range(r.randrange(4))]
+        of = [p for p in of if p[0] != p[1] or r.random() < 0.2]
+        rows_ += [(f"s{c % 40}", f"c{c}", q, o) for q, o in own.items()]
+        pairs += [(f"s{c % 40}", f"c{c}", *p) for p in of]
+        lists.append((f"s{c % 40}", f"c{c}", [(q, [o] if o else []) for q, o in own.items()], of or None))
+    good, bad = contradiction.judged(spark.createDataFrame(rows_, EVIDENCE), spark.createDataFrame(pairs, PAIRS))
+    monkeypatch.setattr(contradiction, "_linked", None)  # no name is shuffled
+    kind = "story_id string, claim_key string, quotes array<struct<quote_id:string,origins:array<string>>>, pairs array<struct<a:string,b:string,label:string>>"
+    got, wrong = contradiction.judged_lists(spark.createDataFrame(lists, kind))
+    least = lambda df: sorted(tuple(x) for x in df.groupBy("story_id", "claim_key").agg(F.min("reason")).collect())
+    assert rows(got) == rows(good) and least(wrong) == least(bad) and len(least(bad)) > 9 and len(rows(good)) > 99
