@@ -71,17 +71,19 @@ def _failed(rows: DataFrame, stage: str, reason: Column) -> DataFrame:
     return rows.select("story_id", F.lit(STAGES.index(stage)).alias("place"), F.lit(stage).alias("stage"), reason.cast("string").alias("reason")).where("reason is not null")
 
 
-def _got(responses: DataFrame, stage: str, **keys: Column) -> DataFrame:
-    """keys, r: the answers of a stage. Of several answers to a key the greatest counts."""
-    named = responses.where(F.col("stage") == stage).select(*(c.alias(k) for k, c in keys.items()), "output", "failure")
-    return named.groupBy(*keys).agg(F.max(F.struct("output", "failure")).alias("r"))
+def _greatest() -> Column:
+    """r: of several answers to a key the greatest counts."""
+    return F.max(F.struct("output", "failure")).alias("r")
 
 
-def _of_claims(responses: DataFrame, stage: str, between: str) -> DataFrame:
-    """Answers by claim, whose keys are the story's id, `between` and the claim's key."""
-    length = F.char_length(F.substring_index("key", ":", 1))
-    own = responses.where(F.substring("key", length + 1, F.lit(len(between))) == between)
-    return _got(own, stage, story_id=F.substring_index("key", ":", 1), claim_key=F.substring("key", length + 1 + len(between), F.char_length("key")))
+def _about_stories(responses: DataFrame) -> DataFrame:
+    """story_id, claim_key, stage, output, failure of the answers that name a story (claim_key is null) or a claim in their key."""
+    story = F.substring_index("key", ":", 1)
+    own = {"claim_generate": "", "gate_support": ":gate:", "contradiction": ":"}
+    keyed = reduce(lambda w, x: w.when(F.col("stage") == x[0], F.concat(story, F.lit(x[1]))), list(own.items())[1:], F.when(F.col("stage") == "claim_generate", F.col("key")))
+    rows = responses.where(F.col("stage").isin(list(own)) & F.startswith("key", keyed))
+    claim = F.when(F.col("stage") != "claim_generate", F.substring("key", F.char_length(keyed) + 1, F.char_length("key")))
+    return rows.select(F.when(claim.isNull(), F.col("key")).otherwise(story).alias("story_id"), claim.alias("claim_key"), "stage", "output", "failure")
 
 
 def _read(rows: DataFrame, stage: str, r: str = "r", items: str = "items", reason: str = "_reason") -> DataFrame:
@@ -108,40 +110,28 @@ def run(articles: DataFrame, sources: DataFrame, stories: DataFrame, claims: Dat
     plan = settled(planned(articles, stories, responses, spend, tokens), "zstd")
     started = plan.where("runs").select("story_id")
     fails = [_failed(started.join(stories, "story_id", "left_anti"), "assign", F.lit("story not assigned"))]
-    rows = articles.join(started, "story_id", "left_semi").join(sources.select("source_id", "rights_tier", "wire_id"), "source_id", "left")
-    fails.append(_failed(rows.where("rights_tier is null"), "sources", F.lit("source not registered")))
-    usable = rows.where("rights_tier <> 'link_only'").withColumn("key", F.col("article_version_id"))
+    rows = articles.join(F.broadcast(sources.select("source_id", "rights_tier", "wire_id")), "source_id", "left")  # a registry: as many as there are sources
+    fails.append(_failed(rows.where("rights_tier is null").select("story_id").distinct().join(started, "story_id", "left_semi"), "sources", F.lit("source not registered")))
+    usable = rows.where("rights_tier <> 'link_only'").join(started, "story_id", "left_semi").withColumn("key", F.col("article_version_id"))
 
-    answered = _read(usable.join(_got(responses, "evidence_extract", key=F.col("key")), "key", "left"), "evidence_extract")
+    extracts = responses.where("stage = 'evidence_extract'").groupBy("key").agg(_greatest())
+    answered = _read(usable.join(extracts, "key", "left"), "evidence_extract")
     cut = answered.withColumn("_sentences", text.split_sentences(F.coalesce("body", F.lit("")))).withColumn("q", F.explode_outer("items"))
     at = cut.where("q is not null or _reason is not null").withColumn("at", span.find_span(F.coalesce("body", F.lit("")), F.col("q.quote")))
     gate = span.gate_one(F.col("body"), F.col("_sentences"), F.col("at.start"), F.col("at.end"), F.col("rights_tier"), F.lit(1))
     origin = F.when(F.col("rights_tier") != "link_only", F.coalesce("wire_id", "source_id"))
     quotes = settled(at.select("story_id", "_reason", "q.quote_id", F.col("article_version_id").alias("version"), "at.start", "at.end", F.when(F.col("at").isNull(), "span_missing").otherwise(gate).alias("gate"), origin.alias("origin")), "zstd")
     fails.append(_failed(quotes, "evidence_extract", F.col("_reason")))
-    quotes = quotes.where("_reason is null").groupBy("story_id", "quote_id").agg(F.min(F.struct("quote_id", "version", "start", "end", "gate", "origin")).alias("q"), F.count("*").alias("n"))
-
-    generated = _read(started.join(_got(responses, "claim_generate", story_id=F.col("key")), "story_id", "left"), "claim_generate")
-    listed = generated.select("story_id", "_reason", F.posexplode_outer("items").alias("n", "c")).where("c is not null or _reason is not null")
-    listed = settled(listed.select("story_id", "_reason", "n", "c.*"), "zstd")
-    fails.append(_failed(listed, "claim_generate", F.col("_reason")))
-    listed = listed.where("_reason is null")
-    typed = listed.groupBy(*CLAIM).agg(F.count("*").alias("k"), F.min(F.struct("n", "claim_type", "modality", "text")).alias("typed"))
-
-    # a row for each claim, its own quotes and both answers about it in lists; quotes of no claim are under a null key
-    named = listed.select(*CLAIM, F.explode_outer(F.array_distinct("quote_ids")).alias("quote_id"))
-    met = named.join(quotes, ["story_id", "quote_id"], "full_outer")
-    own = F.array_sort(F.collect_list(F.when(F.col("claim_key").isNotNull(), F.col("q"))))
-    met = met.groupBy(*CLAIM).agg(own.alias("own"), F.bool_and(F.col("q").isNotNull()).alias("known"), F.min(F.when(F.col("n") > 1, F.col("quote_id"))).alias("twice"))
-    met = met.join(typed, CLAIM, "left")
-    for stage, between, r in (("gate_support", ":gate:", "g"), ("contradiction", ":", "p")):
-        met = met.join(_of_claims(responses, stage, between).withColumnRenamed("r", r), CLAIM, "left")
+    quotes = quotes.where("_reason is null").select("story_id", "quote_id", F.struct("version", "start", "end", "gate", "origin").alias("q"))
+
+    met = _met(started, quotes, _about_stories(responses))
     met = _read(_read(met, "gate_support", "g", "judgments", "_gate"), "contradiction", "p", "pairs", "_pair")
     effects = F.transform("judgments", lambda j: F.struct(j["quote_id"].alias("quote_id"), status.gate_effect(j["label"]).alias("effect")))
     met = settled(met.withColumn("judgments", effects), "zstd")
     fails.append(_failed(met.where("twice is not null"), "evidence_extract", F.concat(F.lit("quote id twice: "), "twice")))
-    fails.append(_failed(met.where("k > 1"), "claim_generate", F.concat(F.lit("claim key twice: "), "claim_key")))
-    evidence = met.where("claim_key is not null and known")
+    fails.append(_failed(met.where("claim_key is null"), "claim_generate", F.col("_listed")))
+    fails.append(_failed(met.where("again"), "claim_generate", F.concat(F.lit("claim key twice: "), "claim_key")))
+    evidence = met.where("typed is not null and known")
     closed = F.transform(F.filter("own", lambda q: q["gate"].isNotNull()), lambda q: F.concat(q["gate"], F.lit(" ("), q["quote_id"], F.lit(")")))
     fails.append(_failed(evidence, "gate", F.array_min(closed)))
     fails.append(_failed(evidence, "gate_support", F.col("_gate")))
@@ -191,6 +181,44 @@ def run(articles: DataFrame, sources: DataFrame, stories: DataFrame, claims: Dat
     return Batch(publish, fresh, changes, confirm, first, plan.where("not runs").select("story_id"), reduce(DataFrame.unionByName, dropped), usage)
 
 
+def _met(started: DataFrame, quotes: DataFrame, answers: DataFrame) -> DataFrame:
+    """A row for each claim that a started story lists, its own quotes in a list and both answers (g, p) about it, and a row of each
+    story under a null key, with the reason why no claims are listed.
+
+    All that is said of a story meets in one shuffle; quotes then reach the claims that name them within its task.
+    """
+    parts = (started.withColumn("started", F.lit(True)), quotes, answers)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition("story_id")
+    once = rows.groupBy("story_id", "quote_id", "stage", "claim_key").agg(F.max("started").alias("started"), F.min("q").alias("q"), F.count("q").alias("times"), _greatest())
+    once = once.withColumn("r", F.when(F.col("stage").isNotNull(), F.col("r")))
+
+    generated = F.col("stage") == "claim_generate"
+    read = _read(once.withColumn("_c", F.when(generated, F.col("r"))), "claim_generate", "_c", "items", "_listed")
+    typed = lambda c, n: F.struct(n.alias("n"), c["claim_type"].alias("claim_type"), c["modality"].alias("modality"), c["text"].alias("text"))
+    ids = lambda c: F.when(F.size(c["quote_ids"]) > 0, F.array_distinct(c["quote_ids"])).otherwise(F.array(F.lit(None).cast("string")))
+    named = F.flatten(F.transform("items", lambda c, n: F.transform(ids(c), lambda q: F.struct(c["claim_key"].alias("claim_key"), q.alias("quote_id"), typed(c, n).alias("typed")))))
+    with_names = read.withColumn("_named", named).withColumn("_itself", F.array(F.struct("claim_key", "quote_id", F.when(F.lit(False), F.col("_named")[0]["typed"]).alias("typed"))))
+    each = with_names.select("story_id", "started", "q", "times", "stage", "r", "_listed", F.explode(F.concat("_itself", F.coalesce("_named", F.slice("_itself", 1, 0)))).alias("x"))
+    each = each.select("story_id", "started", "q", "times", "stage", "r", "_listed", "x.*")
+
+    found = each.withColumn("q", F.max("q").over(Window.partitionBy("story_id", "quote_id"))).withColumn("started", F.max("started").over(Window.partitionBy("story_id"))).where("started")
+    lists = F.col("typed").isNotNull()
+    own = F.collect_list(F.when(lists & F.col("q").isNotNull(), F.struct("quote_id", "q.*")))
+    of = lambda stage: F.max(F.when((F.col("stage") == stage) & ~lists, F.col("r")))
+    answered = generated & ~lists
+    why = F.when(F.max(F.when(answered, F.lit(True))).isNull(), "no response").otherwise(F.max(F.when(answered, F.col("_listed"))))
+    return found.groupBy(*CLAIM).agg(
+        F.array_sort(own).alias("own"),
+        F.bool_and(F.when(lists, F.col("q").isNotNull())).alias("known"),
+        F.min(F.when((F.col("times") > 1) & ~lists, F.col("quote_id"))).alias("twice"),
+        (F.min("typed.n") != F.max("typed.n")).alias("again"),
+        F.min("typed").alias("typed"),
+        of("gate_support").alias("g"),
+        of("contradiction").alias("p"),
+        why.alias("_listed"),
+    )
+
+
 def outcomes(batch: Batch) -> DataFrame:
     """story_id, outcome, stage, reason of every story of the batch."""
     none = F.lit(None).cast("string")

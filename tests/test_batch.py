@@ -198,3 +198,20 @@ def test_claims_judged_as_lists_equal_claims_judged_by_rows(spark, monkeypatch):
     got, wrong = contradiction.judged_lists(spark.createDataFrame(lists, kind))
     least = lambda df: sorted(tuple(x) for x in df.groupBy("story_id", "claim_key").agg(F.min("reason")).collect())
     assert rows(got) == rows(good) and least(wrong) == least(bad) and len(least(bad)) > 9 and len(rows(good)) > 99
+
+
+def test_what_is_said_of_a_story_meets_in_one_shuffle(spark):
+    answer = lambda stage, key, out: (stage, key, json.dumps(out), 1, 1.0, None)
+    claim = lambda c, *ids: {"claim_key": c, "text": c, "claim_type": "fact", "modality": "asserted", "quote_ids": list(ids)}
+    responses = [answer("claim_generate", "s", {"claims": [claim("c:1", "a", "b", "a"), claim("c2", "zz"), claim("c3"), claim("c4", "d"), claim("c4", "a")]}), answer("claim_generate", "late", {"claims": [claim("c1", "a")]})]
+    responses += [answer("gate_support", "s:gate:c:1", {"judgments": [{"quote_id": "a", "label": "supported"}]}), answer("gate_support", "s:c:1", {}), answer("contradiction", "s:c:1", {"pairs": []}), answer("contradiction", "s:other", {"pairs": []})]
+    quotes = [("s", q, (f"v{q}", n, n + 1, None, "o")) for n, q in enumerate("abcdd")]
+    started = spark.createDataFrame([("s",), ("mute",)], "story_id string")
+    made = spark.createDataFrame(quotes, "story_id string, quote_id string, q struct<version:string,start:int,end:int,gate:string,origin:string>")
+    met = batch._met(started, made, batch._about_stories(inputs(spark, [], responses)[1]))
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.story_id, r.claim_key): r for r in met.collect()}
+    assert set(got) == {("s", None), ("mute", None), *(("s", c) for c in ("c:1", "c2", "c3", "c4", "other"))}
+    assert [q.quote_id for q in got["s", "c:1"].own] == ["a", "b"] and got["s", "c:1"].known and got["s", "c:1"].g and got["s", "c:1"].p
+    assert not got["s", "c2"].known and not got["s", "c3"].known and got["s", "c4"].again and got["s", "other"].typed is None
+    assert got["s", None].twice == "d" and got["s", None]._listed is None and got["mute", None]._listed == "no response"
