@@ -193,7 +193,7 @@ def _met(started: DataFrame, quotes: DataFrame, answers: DataFrame) -> DataFrame
     once = once.withColumn("r", F.when(F.col("stage").isNotNull(), F.col("r")))
 
     generated = F.col("stage") == "claim_generate"
-    read = _read(once.withColumn("_c", F.when(generated, F.col("r"))), "claim_generate", "_c", "items", "_listed")
+    read = _read(once.withColumns({"_c": F.when(generated, F.col("r")), "r": F.when(~generated, F.col("r"))}), "claim_generate", "_c", "items", "_listed")  # read once, not carried to each name
     typed = lambda c, n: F.struct(n.alias("n"), c["claim_type"].alias("claim_type"), c["modality"].alias("modality"), c["text"].alias("text"))
     ids = lambda c: F.when(F.size(c["quote_ids"]) > 0, F.array_distinct(c["quote_ids"])).otherwise(F.array(F.lit(None).cast("string")))
     named = F.flatten(F.transform("items", lambda c, n: F.transform(ids(c), lambda q: F.struct(c["claim_key"].alias("claim_key"), q.alias("quote_id"), typed(c, n).alias("typed")))))
