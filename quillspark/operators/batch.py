@@ -32,6 +32,8 @@ REVISIONS = "story_id string, revision_number int, status string, content string
 CHANGES = "story_id string, revision_number int, kind string, claim_change string, claim_id string, previous_text string, current_text string, previous_status string, current_status string"
 RUNS = "slot string, attempt int, published long, confirmed long, failed long, deferred long, tokens long, spend double, finished_at timestamp"
 CLAIM = ["story_id", "claim_key"]
+#: About so many quotes go to a task at most, since its sorts hold a row for a quote and one for each claim that names it.
+QUOTES = 100_000
 
 
 @dataclass(frozen=True)
@@ -188,7 +190,8 @@ def _met(started: DataFrame, quotes: DataFrame, answers: DataFrame) -> DataFrame
     All that is said of a story meets in one shuffle; quotes then reach the claims that name them within its task.
     """
     parts = (started.withColumn("started", F.lit(True)), quotes, answers)
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition("story_id")
+    tasks = max(int(started.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + quotes.count() // QUOTES)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition(tasks, "story_id")
     once = rows.groupBy("story_id", "quote_id", "stage", "claim_key").agg(F.max("started").alias("started"), F.min("q").alias("q"), F.count("q").alias("times"), _greatest())
     once = once.withColumn("r", F.when(F.col("stage").isNotNull(), F.col("r")))
 
