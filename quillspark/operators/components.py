@@ -40,6 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
     while not _are_stars(stars):
         stars = settled(_pulled(_hung(stars)))
     every = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for alone in (stars.select("b").distinct(), given.where("a = b").select("b").distinct()):  # centres, and edges from a node to itself
+    for alone in (stars, given.where("a = b")):  # centres, and edges from a node to itself
         every = every.unionByName(alone.select(F.col("b").alias("node"), F.col("b").alias("component")))
     return every.groupBy("node").agg(F.min("component").alias("component"))
