@@ -17,7 +17,7 @@ the leader is the least text by a hashed order. Pairs are compared in turns, eac
 
 So all pairs that share a key are compared unless other links have joined them before. Groups of one class collapse in the first two
 steps, whose pairs grow in proportion to the texts. What is left of a larger key is dealt to tasks in cells of CELL texts by as many: in a cell a pair is
-looked at only if the key is the least that both share, by products of matrices first (words in common bound the edits), then aligned by
+looked at only if the key is the one that the pair's hash picks of all that both share, by products of matrices first (words in common bound the edits), then aligned by
 bits, one text with many at once. This last step grows with the square of a group of texts that share a passage and are not alike. Pairs
 that can't be alike by their lengths or by a bitmap of their words are left out beforehand: each word of one text beyond those of
 the other is an edit, and so is each bit.
@@ -54,9 +54,11 @@ SMALL = 16
 CELL = 1000
 #: Pairs that one task aligns, and that one task of cells looks at, about.
 ALIGN, LOOKED = 1000, 500_000
+#: Pairs with one text that stay together, about.
+TOGETHER = 100
 #: Columns of a product of matrices.
 WIDE = 2048
-#: Pairs aligned one by one if there are less, or if a text has more words.
+#: Pairs aligned one by one if there are less for each 64 words, or if a text has more words.
 FEW, LONG = 8, 1024
 #: Items that are hashed at once.
 BLOCK = 4096
@@ -213,9 +215,13 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are alike. texts: node and words."""
-    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
-    first = first.repartition(1 + pairs.count() // ALIGN, "b")  # by pairs, not by bytes: they cost time
-    return first.join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").mapInArrow(_align, "a long, b long")
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("shares")).where("shares > 1")  # a leader may have most pairs
+    some = F.coalesce("shares", F.lit(1))
+    dealt = pairs.join(shares, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), some).cast("int").alias("share"))
+    second = texts.withColumnsRenamed({"node": "b", "words": "y"}).join(shares, "b", "left").select("b", "y", F.explode(F.sequence(F.lit(0), some - 1)).alias("share"))
+    first = dealt.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
+    first = first.repartition(1 + pairs.count() // ALIGN, "b", "share")  # by pairs, not by bytes: they cost time
+    return first.join(second, ["b", "share"]).select("a", "b", "x", "y").mapInArrow(_align, "a long, b long")
 
 
 def in_common(sets: list[np.ndarray]) -> np.ndarray:
@@ -246,11 +252,12 @@ def _told_apart(words: np.ndarray) -> np.ndarray:
 def align_many(a: np.ndarray, others: list[np.ndarray], most: np.ndarray) -> np.ndarray:
     """Which of the sequences are at most so many edits from a: the recurrence of _in_bits without a band, for all of them at once.
 
-    A column of a is in 64-bit parts. A pair goes once its edits can't come down to the limit in the columns left.
+    A column of a is in 64-bit parts, each of which costs the same for few others as for many. A pair goes once its edits can't come
+    down to the limit in the columns left.
     """
-    if len(others) < FEW or max(len(a), *map(len, others)) > LONG:
-        return np.array([aligns(a, b, int(m)) for b, m in zip(others, most, strict=True)], bool)
     n, parts = len(a), -(-len(a) // 64)
+    if len(others) < FEW * max(1, parts) or max(n, *map(len, others)) > LONG:
+        return np.array([aligns(a, b, int(m)) for b, m in zip(others, most, strict=True)], bool)
     lengths = np.array([len(b) for b in others])
     values, place = np.unique(a, return_inverse=True)
     equal = np.zeros((len(values) + 1, parts), np.uint64)  # the last row: words that a lacks
@@ -297,8 +304,10 @@ def _cell(cell: pa.Table) -> pa.Table:
     met = np.triu(of[:, None] != of[None], 1) & (abs(n[:, None] - n[None]) <= most)
     if cross:
         met &= part[:, None] != part[None]
-    lesser = [np.array([k for k in keys if k < key], np.int64) for keys in cell.column("keys").to_pylist()]
-    met &= in_common(lesser) == 0
+    # a pair is looked at under one of the keys that both share, so that a group's pairs are dealt to all of its keys
+    keys = [np.array(k, np.int64) for k in cell.column("keys").to_pylist()]
+    drawn = _mix(node.view(np.uint64)).astype(np.uint32)
+    met &= in_common([k[k < key] for k in keys]) == (drawn[:, None] ^ drawn[None]) % in_common(keys).astype(np.uint32)
     some = np.flatnonzero(met.any(0) | met.any(1))
     if len(some):
         shared = in_common([_told_apart(words[t]) for t in some])

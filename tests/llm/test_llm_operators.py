@@ -9,7 +9,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import brown, decontaminate, langid, mixing, orderminhash, quality, sanitize, suffixdedup, tokencount, toxicity
 import plain
@@ -514,6 +516,42 @@ def test_keys_of_many_texts_are_cut_into_cells(spark, monkeypatch):
         assert joined([(x.a, x.b) for x in orderminhash.met_in_cells(large, words).collect()]) == want
 
 
+def test_pairs_of_a_group_are_dealt_to_all_of_its_keys(monkeypatch):
+    """Each pair is aligned under exactly one of the keys that both share, and no key has most of them."""
+    r = np.random.default_rng(17)
+    texts, keys = [r.permutation(50).astype(np.uint32) for _ in range(40)], [sorted({1, *r.choice(12, 9, replace=False).tolist()}) for _ in range(40)]
+    met = Counter()
+    number = {t.tobytes(): i for i, t in enumerate(texts)}
+    for key in range(12):
+        of = [i for i in range(40) if key in keys[i]]
+        monkeypatch.setattr(orderminhash, "align_many", lambda a, others, most, key=key: met.update((key, *sorted((number[a.tobytes()], number[b.tobytes()]))) for b in others) or np.zeros(len(others), bool))
+        kind = [("key", pa.int64()), ("node", pa.int64()), ("component", pa.int64()), ("words", pa.binary()), ("keys", pa.list_(pa.int64())), ("part", pa.int32()), ("i", pa.int32()), ("j", pa.int32())]
+        cell = pa.table([[key] * len(of), of, of, [texts[i].tobytes() for i in of], [keys[i] for i in of], *([0] * len(of),) * 3], schema=pa.schema(kind))
+        assert orderminhash._cell(cell).num_rows == 0
+    assert sorted((a, b) for _, a, b in met) == [(a, b) for a in range(40) for b in range(a + 1, 40)] and set(met.values()) == {1}
+    assert max(Counter(key for key, _, _ in met).values()) < 0.2 * len(met)
+
+
+def test_few_texts_of_many_words_are_aligned_alone(monkeypatch):
+    r, alone = np.random.default_rng(19), []
+    monkeypatch.setattr(orderminhash, "aligns", lambda a, b, most: alone.append(1) or True)
+    for n in (20, 200):
+        orderminhash.align_many(r.integers(0, 30, 700), [r.integers(0, 30, 700)] * n, np.full(n, 140))
+    assert len(alone) == 20
+
+
+def test_pairs_with_one_text_are_dealt_to_several_tasks(spark, monkeypatch):
+    """All pairs of a leader are verified, in shares; a text without a partner and repeated or missing pairs stay as they are."""
+    monkeypatch.setattr(orderminhash, "TOGETHER", 10)
+    monkeypatch.setattr(orderminhash, "ALIGN", 10)
+    texts = spark.createDataFrame([(i, np.array([0 if i % 3 else 1000 + i, *range(1, 10)], np.uint32).tobytes()) for i in range(101)], "node long, words binary")
+    pairs = spark.createDataFrame([(i, 100) for i in range(100)] + [(1, 2), (1, 2), (500, 100), (3, 600), (None, 100)], "a long, b long")
+    found = orderminhash.verified(pairs, texts)
+    placed = found.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((x.a, x.b) for x in placed) == sorted([(i, 100) for i in range(100)] + [(1, 2), (1, 2)])
+    assert max(Counter(x.task for x in placed).values()) < 50
+
+
 def _roots(n, links):
     of = list(range(n))
     for a, b in links:
