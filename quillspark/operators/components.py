@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.session import settled
 
 
+def _both_ends(edges: DataFrame, a: str, of_a: Column, b: str, of_b: Column) -> DataFrame:
+    """Two rows (a, b) of each edge, made in one pass: one of its end a with a value, one of its end b with a value."""
+    row = lambda end, value: F.struct(F.col(end).alias(a), value.alias(b))
+    return edges.select(F.inline(F.array(row("a", of_a), row("b", of_b))))
+
+
 def _hung(edges: DataFrame) -> DataFrame:
-    """Each greater neighbour of a node hung to the least one around that node."""
-    around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """Each greater neighbour of a node hung to the least one around that node. Edges run from the greater end a to the lesser b."""
+    around = _both_ends(edges, "a", F.col("b"), "b", F.col("a"))
     least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return around.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    greater = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return greater.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _pulled(edges: DataFrame) -> DataFrame:
@@ -24,8 +31,7 @@ def _pulled(edges: DataFrame) -> DataFrame:
 
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every node hangs on one other, which itself hangs on none: the next steps would change nothing."""
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs")).unionByName(edges.select(F.col("b").alias("node")).distinct().withColumn("hangs", F.lit(0)))
-    of = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.min("hangs").alias("least"))
+    of = _both_ends(edges, "node", F.lit(1), "hangs", F.lit(0)).groupBy("node").agg(F.sum("hangs").alias("hangs"), F.min("hangs").alias("least"))
     return of.where("hangs > 1 or hangs = 1 and least = 0").isEmpty()
 
 
@@ -35,11 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
     Both steps in turn until all are stars, which takes about log squared of the longest chain; no list of neighbours
     is ever built, only their least. Rows with a null end are left out.
     """
-    given = settled(edges.select("a", "b").where("a is not null and b is not null").distinct())
-    stars = settled(given.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    given = settled(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    stars = given.where("a <> b")
     while not _are_stars(stars):
         stars = settled(_pulled(_hung(stars)))
-    every = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for alone in (stars, given.where("a = b")):  # centres, and edges from a node to itself
-        every = every.unionByName(alone.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    every = _both_ends(stars, "node", F.col("b"), "component", F.col("b"))  # what hangs, and centres
+    every = every.unionByName(given.where("a = b").select(F.col("b").alias("node"), F.col("b").alias("component")))  # edges from a node to itself
     return every.groupBy("node").agg(F.min("component").alias("component"))

@@ -181,6 +181,46 @@ def test_stars_take_one_round(spark, monkeypatch):
         assert len(rounds) == most
 
 
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_components_read_their_edges_once_a_step(spark, monkeypatch):
+    from quillspark.operators import components as module
+    from quillspark.session import settled
+
+    edges = settled(spark.createDataFrame([(5, 1), (5, 2), (7, 5)], "a long, b long"))
+    assert _scans(module._hung(edges)) == 2
+    written = []
+    monkeypatch.setattr(module, "settled", lambda df, f=module.settled: written.append(1) or f(df))
+    got = components(spark.createDataFrame([(1, 2), (2, 1), (1, 2), (1, 3), (9, 9), (1, 1), (None, 4), (4, None), (None, None)], "a long, b long"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (2, 1), (3, 1), (9, 9)] and len(written) == 1 and _scans(got) <= 4  # a plan and its last form
+
+
+def test_mismatches_are_found_in_one_pass(spark):
+    """Null and unknown quotes, quotes paired with themselves, labels that differ or lack, repeated pairs, null keys."""
+    from quillspark.session import settled
+
+    given = {
+        "fair": [("p", "q", 1, 2, "agree"), ("p", "q", 1, 2, "agree"), ("r", "p", 3, 1, "incompatible")],
+        "alien": [("p", "z", 1, None, "agree")],
+        "nulls": [(None, "q", None, 2, "agree"), (None, None, None, None, "agree")],
+        "itself": [("p", "p", 1, 1, "agree")],
+        "unknown": [("z", "z", None, None, "agree")],
+        "two": [("p", "q", 1, 2, "agree"), ("q", "p", 2, 1, "unrelated")],
+        "none": [("p", "q", 1, 2, None)],
+        "crossed": [("p", "q", 1, 2, "incompatible"), ("q", "p", 2, 1, "incompatible")],
+        None: [("p", "z", 1, None, None)],
+    }
+    kind = "story_id string, claim_key string, a string, b string, _a long, _b long, label string"
+    linked = settled(spark.createDataFrame([("s", c, a, b, x, y, label) for c, of in given.items() for a, b, x, y, label in of], kind))
+    found = contradiction._mismatches(linked)
+    assert _scans(found) == 1
+    alien, itself, label = "a quote of no evidence", "a quote paired with itself", "not one label for a pair"
+    want = [("alien", alien), ("nulls", itself), ("itself", itself), ("unknown", itself), ("two", label), ("none", label), ("crossed", "incompatible both ways"), (None, alien), (None, label)]
+    assert sorted(((r.claim_key, r.reason) for r in found.collect()), key=str) == sorted(want, key=str)
+
+
 def test_claims_judged_as_lists_equal_claims_judged_by_rows(spark, monkeypatch):
     r = random.Random(11)
     rows_, pairs, lists = [], [], []
